@@ -252,9 +252,10 @@ def extend_right(text: str, start: int, k: int, rule: Rule) -> tuple[int, int]:
 
 
 def run_around(text: str, pos: int, k: int, rule: Rule):
-    """(start, units, last position) of the run whose seed is at ``pos``, or None.
+    """(start, units, last position) of the run whose seed is at ``pos``.
 
-    Reads to the left first; a gap length found there also holds to the right.
+    None if there can be no seed. Reads to the left first; a gap length found
+    there also holds to the right.
     """
     seed = text[pos : pos + k]
     if len(seed) < k or (rule.primitive_only and not is_primitive(seed)):
@@ -262,8 +263,7 @@ def run_around(text: str, pos: int, k: int, rule: Rule):
     reader = _Reader(text, k, rule)
     before, start = reader.left(seed, pos)
     after, stop = reader.right(seed, pos + k)
-    units = before + after + 1
-    return (start, units, stop - 1) if units >= rule.min_repeat else None
+    return start, before + after + 1, stop - 1
 
 
 @dataclass

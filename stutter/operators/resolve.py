@@ -197,13 +197,13 @@ def ranked_repeats(df: DataFrame, rule: Rule, size: int = CHUNK_SIZE, block: int
     out = ranked_in_place(whole, rule)
     regions = durable(
         exact_regions(long, rule.k_list, rule.min_repeat, rule.primitive_only, size,
-                      spread=_spread(df))
+                      spread=spread_of(df))
     )
     if regions.isEmpty():
         return out
     return out.unionByName(ranked_regions(regions, rule, block))
 
 
-def _spread(df: DataFrame) -> int:
+def spread_of(df: DataFrame) -> int:
     """Partitions for the chunks of long sequences: the session's shuffle setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
