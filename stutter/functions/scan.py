@@ -364,3 +364,21 @@ def _scan_by_position(text, codes, rule, borders, cut_short, out: Scan):
         out.rows.append((k, p, cnt, end))
         pos = end - k + 1
     out.marks.append([tuple(m) for m in marks])
+
+
+def text_repeats(text: str, rule: Rule) -> list[tuple[int, int, int, int]]:
+    """(k, start, count, last position) of one text under any rule."""
+    if not rule.exact or rule.policy == "position" or rule.every_start:
+        return scan_text(text, rule).rows
+    codes = to_codes(text)
+    regions = []
+    for k in rule.k_list:
+        first, length = long_runs(same_after(codes, k), (rule.min_repeat - 1) * k)
+        for a, m in zip(first.tolist(), length.tolist()):
+            if not rule.primitive_only or is_primitive(text[a : a + k]):
+                regions.append((k, a, m + k))
+    if rule.policy == "ranked":
+        found = exact_ranked(len(text), regions)
+    else:
+        found = [(k, a, length // k) for k, a, length in regions]
+    return [(k, a, cnt, a + cnt * k - 1) for k, a, cnt in found]

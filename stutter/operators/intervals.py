@@ -185,3 +185,37 @@ def drop_contained_global(df: DataFrame) -> DataFrame:
     joined = with_prev.join(linked.select("seq_id", "_before"), "seq_id")
     prev = F.coalesce("_prev", "_before", F.lit(0))
     return joined.where(F.col("end_pos") > prev).select(*df.columns)
+
+
+def partial_unit_extension(pairs: DataFrame) -> DataFrame:
+    """How far a border repeat goes on with part of a unit inside its segment.
+
+    ``pairs`` are segments (``chunk``, ``seg_start``, ``seg_end``) with repeats
+    that overlap them. ``ext_after`` counts characters after a repeat that crosses
+    the left border and go on with its motif, ``ext_before`` those before a repeat
+    that crosses the right border; both are less than a motif and stay inside.
+    """
+    motif, text = F.col("motif"), F.col("chunk")
+    spare = F.length(motif) - 1
+    crosses_left = (F.col("start_pos") <= F.col("seg_start")) & (F.col("end_pos") >= F.col("seg_start"))
+    crosses_right = (F.col("end_pos") >= F.col("seg_end")) & (F.col("start_pos") <= F.col("seg_end"))
+    after = F.substring(text, (F.col("end_pos") - F.col("seg_start") + 2).cast("int"), spare)
+    at = F.col("start_pos") - F.col("seg_start")  # characters of the segment before the repeat
+    low = F.greatest(at - spare, F.lit(0))
+    before = F.substring(text, (low + 1).cast("int"), F.greatest(at - low, F.lit(0)).cast("int"))
+
+    def agreeing(unit: Column, other: Column) -> Column:
+        differs = F.filter(
+            F.sequence(F.lit(1), F.greatest(spare, F.lit(1))),
+            lambda i: F.substring(unit, i, F.lit(1)) != F.substring(other, i, F.lit(1)),
+        )
+        return F.when(spare < 1, F.lit(0)).otherwise(
+            F.coalesce(F.array_min(differs), F.greatest(spare, F.lit(1)) + 1) - 1
+        )
+
+    zero = F.lit(0)
+    return pairs.withColumn(
+        "ext_after", F.when(crosses_left, agreeing(motif, after)).otherwise(zero).cast("long")
+    ).withColumn(
+        "ext_before", F.when(crosses_right, agreeing(F.reverse(motif), F.reverse(before))).otherwise(zero).cast("long")
+    )
