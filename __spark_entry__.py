@@ -407,11 +407,6 @@ def chunked_repeats(spark, sf_dir):
     return exact.chunked_repeats(docs(spark, sf_dir), K, size=256)
 
 
-@query()
-def masked_segment_scan(spark, sf_dir):
-    return segments.masked_segment_scan(docs(spark, sf_dir), SEGMENT, Rule(tuple(RANKED)))
-
-
 # intervals
 
 
@@ -420,9 +415,13 @@ def merge_intervals(spark, sf_dir):
     return intervals.merge_intervals(doc_repeats(spark, sf_dir, K1))
 
 
-_SEGS = f"""segs AS (SELECT seq_id, seq_name, c AS chunk_id, c * {SEGMENT} AS seg_start,
-  least(c * {SEGMENT} + {SEGMENT - 1}, length(seq) - 1) AS seg_end, substr(seq, c * {SEGMENT} + 1, {SEGMENT}) AS chunk
-  FROM (SELECT *, unnest(range(0, (length(seq) + {SEGMENT - 1}) // {SEGMENT})) AS c FROM seqs))"""
+def _cut(n: int, seqs: str = "seqs") -> str:
+    return f"""segs AS (SELECT seq_id, seq_name, c AS chunk_id, c * {n} AS seg_start,
+  least(c * {n} + {n - 1}, length(seq) - 1) AS seg_end, substr(seq, c * {n} + 1, {n}) AS chunk
+  FROM (SELECT *, unnest(range(0, (length(seq) + {n - 1}) // {n})) AS c FROM {seqs}))"""
+
+
+_SEGS = _cut(SEGMENT)
 
 
 @query(f"""WITH {o.repeats(K1)}, {o.merged('repeats')},
@@ -465,29 +464,61 @@ def segment_overlap_join(spark, sf_dir):
     return segments.segment_overlap_join(segs, r, SEGMENT)
 
 
-@query(f"""WITH {o.regions(K)}, {_CUTS}, {_SPANNING}, {_SEGS},
+def _extensions(cuts: str, segs: str) -> str:
+    return f"""{cuts}, {_SPANNING}, {segs},
 border AS (SELECT DISTINCT seq_id, motif, start_pos, end_pos FROM spanning),
-pairs AS (SELECT s.*, r.motif, r.start_pos, r.end_pos, length(r.motif) AS k FROM segs s JOIN border r ON {_PAIR})
-SELECT seq_id, chunk_id::BIGINT AS chunk_id, motif, start_pos, end_pos,
+pairs AS (SELECT s.*, r.motif, r.start_pos, r.end_pos, length(r.motif) AS k FROM segs s JOIN border r ON {_PAIR}),
+extensions AS (SELECT seq_id, chunk_id::BIGINT AS chunk_id, seg_start, seg_end, motif, start_pos, end_pos,
   CASE WHEN start_pos <= seg_start AND end_pos >= seg_start THEN
-    list_max([j FOR j IN range(0, k) IF end_pos - seg_start + j < length(chunk) AND
-      substr(chunk, end_pos - seg_start + 2, j) = substr(motif, 1, j)]) ELSE 0 END::BIGINT AS ext_after,
+    coalesce(list_max([j FOR j IN range(0, k) IF end_pos - seg_start + j < length(chunk) AND
+      substr(chunk, end_pos - seg_start + 2, j) = substr(motif, 1, j)]), 0) ELSE 0 END::BIGINT AS ext_after,
   CASE WHEN end_pos >= seg_end AND start_pos <= seg_end THEN
-    list_max([j FOR j IN range(0, k) IF start_pos - seg_start - j >= 0 AND
-      substr(chunk, start_pos - seg_start - j + 1, j) = substr(motif, k - j + 1, j)]) ELSE 0 END::BIGINT AS ext_before
-FROM pairs""")
+    coalesce(list_max([j FOR j IN range(0, k) IF start_pos - seg_start - j >= 0 AND
+      substr(chunk, start_pos - seg_start - j + 1, j) = substr(motif, k - j + 1, j)]), 0) ELSE 0 END::BIGINT AS ext_before
+FROM pairs)"""
+
+
+@query(
+    f"WITH {o.regions(K)}, {_extensions(_CUTS, _SEGS)} "
+    "SELECT seq_id, chunk_id, motif, start_pos, end_pos, ext_after, ext_before FROM extensions"
+)
 def partial_unit_extension(spark, sf_dir):
     border = segments.border_repeats(docs(spark, sf_dir), SEGMENT, Rule(tuple(K)))
     pairs = intervals.overlap_join(
         doc_segments(spark, sf_dir), border.select("seq_id", "motif", "start_pos", "end_pos"), SEGMENT, "inner"
     )
     return intervals.partial_unit_extension(pairs).select(
-        "seq_id", "chunk_id", "motif", "start_pos", "end_pos",
-        F.greatest("ext_after", F.lit(0)).cast("long").alias("ext_after"),
-        F.greatest("ext_before", F.lit(0)).cast("long").alias("ext_before"),
+        "seq_id", "chunk_id", "motif", "start_pos", "end_pos", "ext_after", "ext_before"
     )
 
 
+_MASKED = f"""{o.regions([1, 2, 3], seqs=o.EVENTS)},
+{_extensions("cuts AS (SELECT seq_id, unnest(range(12, length(seq), 12)) AS cut FROM seqs)", _cut(12))},
+hidden AS (SELECT seq_id, chunk_id, unnest(range(greatest(start_pos - ext_before - seg_start, 0),
+                  least(end_pos + ext_after, seg_end) - seg_start + 1)) AS cell FROM extensions),
+parts AS (SELECT s.seq_id * 1000 + s.chunk_id AS seq_id, any_value(s.seq_name) AS seq_name, any_value(chunk) AS seq,
+                 list(DISTINCT cell) AS cells
+          FROM segs s LEFT JOIN hidden h ON h.seq_id = s.seq_id AND h.chunk_id = s.chunk_id GROUP BY s.seq_id, s.chunk_id)"""
+
+
+@query(
+    o.reading(
+        [3, 2, 1], seqs=_MASKED, source="parts",
+        covered="array_to_string([CASE WHEN list_contains(cells, c) THEN '1' ELSE '0' END "
+        "FOR c IN range(0, length(seq))], '')",
+        columns="(seq_id // 1000)::BIGINT AS seq_id, seq_name, k, motif, cnt, "
+        "(start_pos + 12 * (seq_id % 1000))::BIGINT AS start_pos, (end_pos + 12 * (seq_id % 1000))::BIGINT AS end_pos",
+    )
+)
+def masked_segment_scan(spark, sf_dir):
+    return segments.masked_segment_scan(events(spark, sf_dir), 12, Rule((3, 2, 1)))
+
+
+@query()
+def masked_document_scan(spark, sf_dir):
+    return segments.masked_segment_scan(docs(spark, sf_dir), SEGMENT, Rule(tuple(RANKED)))
+
+
 _ORDER = "start_pos, end_pos DESC, k DESC, motif"
 
 

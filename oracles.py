@@ -98,6 +98,7 @@ def _jump(miss: int, max_gap: int, max_gaps: int) -> str:
 def reading(
     ks, min_repeat: int = 3, miss: int = 0, max_gap: int = 0, max_gaps: int = 10_000_000,
     policy: str = "ranked", every_start: bool = False, seqs: str = EVENTS, columns: str = REPEAT,
+    covered: str = "repeat('0', length(seq))", source: str = "seqs",
 ) -> str:
     """Left to right reading as a recursive query; every round moves one unit."""
     ks = list(ks)
@@ -124,9 +125,9 @@ def reading(
     return f"""WITH RECURSIVE {seqs},
 walk AS (
   SELECT seq_id, seq_name, seq AS s, length(seq)::BIGINT AS n, 1::BIGINT AS ki, 0::BIGINT AS pos,
-         repeat('0', length(seq)) AS cov, 0::BIGINT AS cnt, 0::BIGINT AS cur, 0::BIGINT AS gap, 0::BIGINT AS used,
+         {covered} AS cov, 0::BIGINT AS cnt, 0::BIGINT AS cur, 0::BIGINT AS gap, 0::BIGINT AS used,
          FALSE AS hit, 0::BIGINT AS hk, 0::BIGINT AS hcnt, 0::BIGINT AS hpos, 0::BIGINT AS hend
-  FROM seqs
+  FROM {source}
   UNION ALL
   SELECT seq_id, seq_name, s, n,
          (CASE WHEN hit_now THEN {hit_ki} WHEN moves = 'past' THEN {past_ki}

@@ -105,13 +105,14 @@ def edge_run(flags: np.ndarray) -> int:
 # -- exact repeats on one whole text ---------------------------------------
 
 
-def exact_ranked(n: int, regions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def exact_ranked(n: int, regions: list[tuple[int, int, int]], taken=None) -> list[tuple[int, int, int]]:
     """Settle competing regions ``(k, start, length)`` of one text.
 
     Regions come in list order of k, then by start. A region keeps its first
-    phase that still reaches a free cell. Returns (k, start, count).
+    phase that still reaches a free cell. Returns (k, start, count). ``taken``
+    is a byte per cell, set where the cell is covered beforehand.
     """
-    taken = bytearray(n)
+    taken = bytearray(n) if taken is None else taken
     kept = []
     for k, a, length in regions:
         span = length - length % k

@@ -152,7 +152,7 @@ def exact_regions(
 
     runs = chunks.mapInArrow(find, _RUN_SCHEMA)
     # a block is a whole number of chunks, so that only chunk borders meet block borders
-    block = size * max(1, (1 << 30) // size)
+    block = size * max(1, (1 << 26) // size)
     linked = merge_intervals(
         runs, ["seq_id", "seq_name", "k"], ["motif"], block=block, distinct_starts=False
     )

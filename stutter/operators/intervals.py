@@ -126,8 +126,8 @@ def overlap_join(segments: DataFrame, repeats: DataFrame, block: int, how: str =
     ).drop("_block")
     if how == "inner":
         return pairs
-    own = segments.columns
-    rest = [c for c in repeats.columns if c not in own]
+    own = ["seq_id", "seg_start", "seg_end"]  # names a segment
+    rest = [c for c in repeats.columns if c not in segments.columns]
     return segments.join(pairs.select(*own, *rest), own, "left")
 
 
@@ -180,7 +180,7 @@ def drop_contained_global(df: DataFrame) -> DataFrame:
     # the last row of each sequence, handed to the next sequence that has rows
     rank = F.struct("start_pos", -F.col("end_pos"), -F.col("k"), "motif")
     lasts = df.groupBy("seq_id").agg(F.max_by("end_pos", rank).alias("_last"))
-    # second argument list: no key, sequences themselves are the positions
+    # no key here: sequences themselves are the positions
     linked = previous(lasts, [], "seq_id", [F.col("seq_id").asc()], {"_before": F.col("_last")})
     joined = with_prev.join(linked.select("seq_id", "_before"), "seq_id")
     prev = F.coalesce("_prev", "_before", F.lit(0))

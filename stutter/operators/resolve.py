@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.scan import Rule
-from ..sources.chunks import CHUNK_SIZE, chunk_sequences, is_pieces, is_whole
+from ..sources.chunks import CHUNK_SIZE, chunk_sequences, is_pieces
 from .blocks import BLOCK, div, durable, previous
 from .exact import (
     REPEAT_ARROW,
@@ -33,19 +34,6 @@ from .exact import (
 from .intervals import covering, merge_intervals
 
 
-def split_by_length(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(whole sequences of at most ``size`` as chunk rows, the longer sequences)."""
-    if not is_pieces(df):
-        fits = F.length("seq") <= size
-        return chunk_sequences(df.where(fits), size), df.where(~fits)
-    chunks = chunk_sequences(df, size, halo=1)
-    whole = chunks.where(is_whole(size))
-    long_ids = df.groupBy("seq_id").agg(
-        F.max(F.col("piece_start") + F.length("piece")).alias("_n")
-    ).where(F.col("_n") > size).select("seq_id")
-    return whole, df.join(long_ids, "seq_id", "left_semi")
-
-
 def repeats_batch(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
     """Arrow rows from (row, k, motif, cnt, start, end) in chunk coordinates."""
     cells = list(zip(*found)) if found else [()] * 6
@@ -67,10 +55,10 @@ def _whole_regions(rows: RowSpans, k: int, rule: Rule):
             yield r, a - int(rows.start[r]), m + k
 
 
-def ranked_in_place(whole: DataFrame, rule: Rule) -> DataFrame:
-    """Ranked exact repeats of chunk rows that are whole sequences; no shuffle."""
+def ranked_reader(rule: Rule):
+    """Task function: ranked exact repeats of rows ``(seq_id, seq_name, chunk_start, chunk[, mask])``."""
 
-    def find(batches):
+    def read(batches):
         for batch in batches:
             for part, texts in slices(batch, "chunk"):
                 rows = RowSpans(texts)
@@ -80,13 +68,60 @@ def ranked_in_place(whole: DataFrame, rule: Rule) -> DataFrame:
                         per_row.setdefault(r, []).append((k, a, length))
                 found = []
                 for r, regions in per_row.items():
-                    text = texts[r]
-                    for k, a, cnt in scan.exact_ranked(len(text), regions):
-                        found.append((r, k, text[a : a + k], cnt, a, a + cnt * k - 1))
+                    text, origin, taken = texts[r], part["chunk_start"][r].as_py(), cells_taken(part, r, texts)
+                    for k, a, cnt in scan.exact_ranked(len(text), regions, taken):
+                        at = a + origin
+                        found.append((r, k, text[a : a + k], cnt, at, at + cnt * k - 1))
                 if found:
                     yield repeats_batch(part, found)
 
-    return whole.mapInArrow(find, REPEAT_SCHEMA)
+    return read
+
+
+def cells_taken(part: pa.RecordBatch, r: int, texts: list[str]) -> bytearray:
+    """Cells of row ``r`` that its ``mask`` covers, if the rows have one."""
+    taken = bytearray(len(texts[r]))
+    cells = part["mask"][r].as_py() if "mask" in part.schema.names else None
+    for cell in cells or ():
+        taken[cell["s"] : cell["e"] + 1] = b"\x01" * (cell["e"] + 1 - cell["s"])
+    return taken
+
+
+def read_whole(df: DataFrame, size: int, reader) -> tuple[DataFrame, DataFrame | None]:
+    """Read every sequence of at most ``size`` characters where it is.
+
+    Returns (repeats, longer sequences or None). The input is read once; its long
+    sequences leave a marker in place of their text, and only if there are any is
+    the input looked at again, by the caller.
+    """
+    if is_pieces(df):
+        rows = chunk_sequences(df, size, halo=1).where("chunk_id = 0")
+        text = F.when(F.length("chunk") <= size, F.col("chunk"))
+    else:
+        rows = df.where(F.col("seq").isNotNull()).withColumn("chunk_start", F.lit(0).cast("long"))
+        text = F.when(F.length("seq") <= size, F.col("seq"))
+    rows = rows.select("seq_id", "seq_name", "chunk_start", text.alias("chunk"))
+
+    def read(batches):
+        for batch in batches:
+            long = batch.filter(pc.is_null(batch.column("chunk")))
+            if long.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [long["seq_id"], long["seq_name"]]
+                    + [pa.nulls(long.num_rows, f.type) for f in list(REPEAT_ARROW)[2:]],
+                    schema=REPEAT_ARROW,
+                )
+            yield from reader([batch.filter(pc.is_valid(batch.column("chunk")))])
+
+    found = durable(rows.mapInArrow(read, REPEAT_SCHEMA))
+    markers = found.where("k is null")
+    if markers.isEmpty():
+        return found, None
+    if is_pieces(df):
+        long = df.join(markers.select("seq_id"), "seq_id", "left_semi")
+    else:
+        long = df.where(F.length("seq") > size)
+    return found.where("k is not null"), long
 
 
 def _settle_chain(df: DataFrame, block: int) -> DataFrame:
@@ -193,15 +228,13 @@ def ranked_regions(regions: DataFrame, rule: Rule, block: int = BLOCK) -> DataFr
 
 def ranked_repeats(df: DataFrame, rule: Rule, size: int = CHUNK_SIZE, block: int = BLOCK) -> DataFrame:
     """Exact repeats of competing motif lengths."""
-    whole, long = split_by_length(df, size)
-    out = ranked_in_place(whole, rule)
+    found, long = read_whole(df, size, ranked_reader(rule))
+    if long is None:
+        return found
     regions = durable(
-        exact_regions(long, rule.k_list, rule.min_repeat, rule.primitive_only, size,
-                      spread=spread_of(df))
+        exact_regions(long, rule.k_list, rule.min_repeat, rule.primitive_only, size, spread=spread_of(df))
     )
-    if regions.isEmpty():
-        return out
-    return out.unionByName(ranked_regions(regions, rule, block))
+    return found.unionByName(ranked_regions(regions, rule, block))
 
 
 def spread_of(df: DataFrame) -> int:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scan
 from ..functions.scan import Rule
 from ..sources.chunks import chunk_sequences
 from .exact import REPEAT_SCHEMA, cut_spanning_repeats
 from .intervals import clip_intervals, overlap_join, partial_unit_extension
-from .resolve import repeats_batch
+from .resolve import ranked_reader
+from .tolerant import ordered_reader
 
 
 def segments(df: DataFrame, size: int) -> DataFrame:
@@ -58,20 +58,7 @@ def masked_segment_scan(
     # distinct intervals inside one segment: bounded by the segment
     masks = cells.groupBy("seq_id", "chunk_id").agg(F.collect_set("_cell").alias("mask"))
 
-    def read(batches):
-        for batch in batches:
-            found = []
-            texts = batch.column("chunk").to_pylist()
-            masked = batch.column("mask").to_pylist()
-            origin = batch.column("chunk_start").to_pylist()
-            for r, text in enumerate(texts):
-                taken = bytearray(len(text))
-                for cell in masked[r] or ():
-                    taken[cell["s"] : cell["e"] + 1] = b"\x01" * (cell["e"] + 1 - cell["s"])
-                for k, p, cnt, end in scan.scan_text(text, rule, taken=taken).rows:
-                    found.append((r, k, text[p : p + k], cnt, p + origin[r], end + origin[r]))
-            if found:
-                yield repeats_batch(batch, found)
-
+    settled = rule.exact and rule.policy == "ranked" and not rule.every_start
+    reader = ranked_reader(rule) if settled else ordered_reader(rule)
     joined = segs.join(masks, ["seq_id", "chunk_id"], "left")
-    return joined.select("seq_id", "seq_name", "chunk_start", "chunk", "mask").mapInArrow(read, REPEAT_SCHEMA)
+    return joined.select("seq_id", "seq_name", "chunk_start", "chunk", "mask").mapInArrow(reader, REPEAT_SCHEMA)

@@ -26,7 +26,7 @@ from ..sources.chunks import CHUNK_SIZE, assemble, chunk_sequences
 from .blocks import div, durable, previous
 from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA
 from .intervals import merge_intervals
-from .resolve import repeats_batch, split_by_length, spread_of
+from .resolve import cells_taken, read_whole, repeats_batch, spread_of
 
 _READ_SCHEMA = (
     "seq_id long, seq_name string, lo long, hi long, kind string, k int, motif string, "
@@ -40,19 +40,21 @@ _READ_ARROW = pa.schema(
 )
 
 
-def read_whole(whole: DataFrame, rule: Rule) -> DataFrame:
-    """Read chunk rows that are whole sequences; no shuffle."""
+def ordered_reader(rule: Rule):
+    """Task function: reads rows ``(seq_id, seq_name, chunk_start, chunk[, mask])`` in order."""
 
     def read(batches):
         for batch in batches:
             found = []
-            for r, text in enumerate(batch.column("chunk").to_pylist()):
-                for k, p, cnt, end in scan.scan_text(text, rule).rows:
-                    found.append((r, k, text[p : p + k], cnt, p, end))
+            texts = batch.column("chunk").to_pylist()
+            origin = batch.column("chunk_start").to_pylist()
+            for r, text in enumerate(texts):
+                for k, p, cnt, end in scan.scan_text(text, rule, taken=cells_taken(batch, r, texts)).rows:
+                    found.append((r, k, text[p : p + k], cnt, p + origin[r], end + origin[r]))
             if found:
                 yield repeats_batch(batch, found)
 
-    return whole.mapInArrow(read, REPEAT_SCHEMA)
+    return read
 
 
 def _state(marks, which: int, origin: int) -> str:
@@ -91,11 +93,8 @@ def _read_ranges(texts: DataFrame, rule: Rule, context: int) -> DataFrame:
     return texts.mapInArrow(read, _READ_SCHEMA)
 
 
-def _joined_ranges(read: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _joined_ranges(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(ranges to read again as one, starts of the ranges they replace)."""
-    edges = read.where("kind = 'range'").select(
-        "seq_id", "seq_name", "lo", "hi", "state_in", "state_out", "sure"
-    )
     linked = previous(
         edges, ["seq_id"], "lo", [F.col("lo").asc()],
         {"_lo": F.col("lo"), "_out": F.col("state_out"), "_sure": F.col("sure")}, block=size << 10,
@@ -108,11 +107,11 @@ def _joined_ranges(read: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         spans, ["seq_id", "seq_name"], block=size << 10, distinct_starts=False
     ).select("seq_id", "seq_name", F.col("start_pos").alias("lo"), (F.col("end_pos") + 2).alias("hi"))
     gone = bad.select("seq_id", "lo").union(bad.select("seq_id", "_lo")).distinct()
-    return joined, gone
+    return durable(joined), gone
 
 
-def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame | None:
-    """Repeats of sequences read in ranges of ``size``; None if ``df`` is empty."""
+def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
+    """Repeats of long sequences, read in ranges of ``size`` that are checked against each other."""
     first = chunk_sequences(df, size, halo=context, left=context, spread=spread_of(df))
     start = F.col("chunk_start")
     ranges = first.select(
@@ -120,18 +119,25 @@ def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame |
         F.greatest(start - context, F.lit(0).cast("long")).alias("text_start"),
         F.col("chunk").alias("text"),
     )
-    read = durable(_read_ranges(ranges, rule, context))
-    if read.isEmpty():
-        return None
+    columns = ["seq_id", "seq_name", "lo", "hi", "state_in", "state_out", "sure"]
+    rounds = [durable(_read_ranges(ranges, rule, context))]
+    edges = rounds[0].where("kind = 'range'").select(*columns, F.lit(0).alias("round"))
     base = chunk_sequences(df, size)
     while True:
-        joined, gone = _joined_ranges(read, size)
-        joined = durable(joined)
+        joined, gone = _joined_ranges(edges, size)
         if joined.isEmpty():
-            return read.where("kind = 'repeat'").select(*REPEAT_COLUMNS)
-        again = _read_ranges(assemble(base, joined, size, context, context), rule, context)
-        kept = read.join(gone, ["seq_id", "lo"], "left_anti").select(*read.columns)
-        read = durable(kept.unionByName(again))
+            break
+        again = durable(_read_ranges(assemble(base, joined, size, context, context), rule, context))
+        fresh = again.where("kind = 'range'").select(*columns, F.lit(len(rounds)).alias("round"))
+        edges = durable(edges.join(gone, ["seq_id", "lo"], "left_anti").select(*columns, "round").unionByName(fresh))
+        rounds.append(again)
+    found = [r.where("kind = 'repeat'") for r in rounds]
+    if len(rounds) == 1:
+        return found[0].select(*REPEAT_COLUMNS)
+    # what counts is the last reading of each range
+    every = reduce(DataFrame.unionByName, [f.withColumn("round", F.lit(i)) for i, f in enumerate(found)])
+    last = edges.select("seq_id", "lo", "round")
+    return every.join(last, ["seq_id", "lo", "round"], "left_semi").select(*REPEAT_COLUMNS)
 
 
 def tolerant_repeats(
@@ -139,10 +145,8 @@ def tolerant_repeats(
 ) -> DataFrame:
     """Repeats under any rule, also one with mismatches and gaps."""
     context = min(size, max(4096, 8 * rule.reach)) if context is None else context
-    whole, long = split_by_length(df, size)
-    out = read_whole(whole, rule)
-    rest = read_long(long, rule, size, context)
-    return out if rest is None else out.unionByName(rest)
+    found, long = read_whole(df, size, ordered_reader(rule))
+    return found if long is None else found.unionByName(read_long(long, rule, size, context))
 
 
 # -- the run through a given position -----------------------------------------

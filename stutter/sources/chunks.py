@@ -120,11 +120,6 @@ def _from_pieces(df: DataFrame, size: int, right: int, left: int) -> DataFrame:
     )
 
 
-def is_whole(size: int) -> Column:
-    """True for a chunk row (without left context) that is a whole sequence."""
-    return (F.col("chunk_id") == 0) & (F.length("chunk") <= size)
-
-
 def assemble(base: DataFrame, ranges: DataFrame, size: int, left: int, right: int) -> DataFrame:
     """Text of ``[lo - left, hi + right)`` for rows ``(seq_id, lo, hi, ...)``.
 
