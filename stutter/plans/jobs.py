@@ -43,10 +43,11 @@ def find_repeats(
     return tolerant_repeats(df, rule, size)
 
 
-def get_repeats(df: DataFrame, k_list, miss: int = 0, max_gap: int = 0, **options) -> DataFrame:
-    """Every motif length on its own, in the four-column form."""
-    found = find_repeats(df, k_list, miss=miss, max_gap=max_gap, policy="separate", **options)
-    return short_form(found)
+def get_repeats(
+    df: DataFrame, k_list, miss: int = 0, max_gap: int = 0, policy: str = "separate", **options
+) -> DataFrame:
+    """Every motif length on its own (or another policy), in the four-column form."""
+    return short_form(find_repeats(df, k_list, miss=miss, max_gap=max_gap, policy=policy, **options))
 
 
 def single_k_repeats(df: DataFrame, k: int, every_start: bool = False, **options) -> DataFrame:
