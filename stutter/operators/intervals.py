@@ -119,7 +119,8 @@ def overlap_join(segments: DataFrame, repeats: DataFrame, block: int, how: str =
     right = repeats.withColumn(
         "_block", F.explode(F.sequence(div("start_pos", block), div("end_pos", block)))
     )
-    pairs = left.join(right, ["seq_id", "_block"]).where(
+    # Spark guesses the size of exploded rows far too low, so it must not pick a broadcast
+    pairs = left.join(right.hint("merge"), ["seq_id", "_block"]).where(
         (F.col("start_pos") <= F.col("seg_end"))
         & (F.col("end_pos") >= F.col("seg_start"))
         & (F.col("_block") == div(F.greatest("seg_start", "start_pos"), block))
@@ -187,35 +188,42 @@ def drop_contained_global(df: DataFrame) -> DataFrame:
     return joined.where(F.col("end_pos") > prev).select(*df.columns)
 
 
-def partial_unit_extension(pairs: DataFrame) -> DataFrame:
-    """How far a border repeat goes on with part of a unit inside its segment.
+def partial_units(
+    text: Column, seg_start: Column, seg_end: Column, motif: Column, start: Column, end: Column
+) -> tuple[Column, Column]:
+    """Characters (before, after) a border repeat that go on with part of its unit.
 
-    ``pairs`` are segments (``chunk``, ``seg_start``, ``seg_end``) with repeats
-    that overlap them. ``ext_after`` counts characters after a repeat that crosses
-    the left border and go on with its motif, ``ext_before`` those before a repeat
-    that crosses the right border; both are less than a motif and stay inside.
+    Before a repeat that crosses the right border of its segment, after one that
+    crosses the left border; less than a motif each, and inside the segment.
     """
-    motif, text = F.col("motif"), F.col("chunk")
     spare = F.length(motif) - 1
-    crosses_left = (F.col("start_pos") <= F.col("seg_start")) & (F.col("end_pos") >= F.col("seg_start"))
-    crosses_right = (F.col("end_pos") >= F.col("seg_end")) & (F.col("start_pos") <= F.col("seg_end"))
-    after = F.substring(text, (F.col("end_pos") - F.col("seg_start") + 2).cast("int"), spare)
-    at = F.col("start_pos") - F.col("seg_start")  # characters of the segment before the repeat
+    after = F.substring(text, (end - seg_start + 2).cast("int"), spare)
+    at = start - seg_start  # characters of the segment before the repeat
     low = F.greatest(at - spare, F.lit(0))
     before = F.substring(text, (low + 1).cast("int"), F.greatest(at - low, F.lit(0)).cast("int"))
 
     def agreeing(unit: Column, other: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(spare, F.lit(1)))
         differs = F.filter(
-            F.sequence(F.lit(1), F.greatest(spare, F.lit(1))),
-            lambda i: F.substring(unit, i, F.lit(1)) != F.substring(other, i, F.lit(1)),
-        )
-        return F.when(spare < 1, F.lit(0)).otherwise(
-            F.coalesce(F.array_min(differs), F.greatest(spare, F.lit(1)) + 1) - 1
+            steps, lambda i: F.substring(unit, i, F.lit(1)) != F.substring(other, i, F.lit(1))
         )
+        return F.when(spare < 1, F.lit(0)).otherwise(F.coalesce(F.array_min(differs), spare + 1) - 1)
+
+    crosses_left = (start <= seg_start) & (end >= seg_start)
+    crosses_right = (end >= seg_end) & (start <= seg_end)
+    return (
+        F.when(crosses_right, agreeing(F.reverse(motif), F.reverse(before))).otherwise(F.lit(0)).cast("long"),
+        F.when(crosses_left, agreeing(motif, after)).otherwise(F.lit(0)).cast("long"),
+    )
 
-    zero = F.lit(0)
-    return pairs.withColumn(
-        "ext_after", F.when(crosses_left, agreeing(motif, after)).otherwise(zero).cast("long")
-    ).withColumn(
-        "ext_before", F.when(crosses_right, agreeing(F.reverse(motif), F.reverse(before))).otherwise(zero).cast("long")
+
+def partial_unit_extension(pairs: DataFrame) -> DataFrame:
+    """Add ``ext_before`` and ``ext_after`` of :func:`partial_units`.
+
+    ``pairs`` are segments (``chunk``, ``seg_start``, ``seg_end``) with repeats
+    (``motif``, ``start_pos``, ``end_pos``) that overlap them.
+    """
+    before, after = partial_units(
+        *[F.col(c) for c in ("chunk", "seg_start", "seg_end", "motif", "start_pos", "end_pos")]
     )
+    return pairs.withColumn("ext_before", before).withColumn("ext_after", after)

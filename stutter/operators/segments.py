@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import Rule
 from ..sources.chunks import chunk_sequences
 from .exact import REPEAT_SCHEMA, cut_spanning_repeats
-from .intervals import clip_intervals, overlap_join, partial_unit_extension
+from .intervals import overlap_join, partial_units
 from .resolve import ranked_reader
 from .tolerant import ordered_reader
 
@@ -46,19 +46,24 @@ def masked_segment_scan(
     if mask is None:
         mask = border_repeats(df, size, rule)
     segs = segments(df, size)
-    pairs = overlap_join(segs, mask.select("seq_id", "motif", "start_pos", "end_pos"), size, "inner")
-    if extend:
-        pairs = partial_unit_extension(pairs).withColumn("end_pos", F.col("end_pos") + F.col("ext_after"))
-        pairs = pairs.withColumn("start_pos", F.col("start_pos") - F.col("ext_before"))
-    offset = F.col("seg_start")
-    cells = clip_intervals(pairs).select(
-        "seq_id", "chunk_id",
-        F.struct((F.col("clip_start") - offset).alias("s"), (F.col("clip_end") - offset).alias("e")).alias("_cell"),
+    narrow = segs.select("seq_id", "chunk_id", "seg_start", "seg_end")
+    pairs = overlap_join(narrow, mask.select("seq_id", "motif", "start_pos", "end_pos"), size, "inner")
+    # distinct repeats over one segment: bounded by the segment
+    masks = pairs.groupBy("seq_id", "chunk_id").agg(
+        F.collect_set(F.struct("motif", "start_pos", "end_pos")).alias("_over")
     )
-    # distinct intervals inside one segment: bounded by the segment
-    masks = cells.groupBy("seq_id", "chunk_id").agg(F.collect_set("_cell").alias("mask"))
+    first, last = F.col("seg_start"), F.col("seg_end")
+
+    def cell(over: Column) -> Column:
+        begin, stop = over["start_pos"], over["end_pos"]
+        if extend:
+            before, after = partial_units(F.col("chunk"), first, last, over["motif"], begin, stop)
+            begin, stop = begin - before, stop + after
+        return F.struct(
+            (F.greatest(begin, first) - first).alias("s"), (F.least(stop, last) - first).alias("e")
+        )
 
     settled = rule.exact and rule.policy == "ranked" and not rule.every_start
     reader = ranked_reader(rule) if settled else ordered_reader(rule)
-    joined = segs.join(masks, ["seq_id", "chunk_id"], "left")
+    joined = segs.join(masks, ["seq_id", "chunk_id"], "left").withColumn("mask", F.transform("_over", cell))
     return joined.select("seq_id", "seq_name", "chunk_start", "chunk", "mask").mapInArrow(reader, REPEAT_SCHEMA)

@@ -151,6 +151,7 @@ def tolerant_repeats(
 
 # -- the run through a given position -----------------------------------------
 
+_FEW_POSITIONS = 1_000_000  # 16 bytes each
 _AROUND_SCHEMA = (
     "seq_id long, seq_name string, k int, motif string, pos long, cnt long, start_pos long, "
     "end_pos long, open boolean"
@@ -210,6 +211,9 @@ def tolerant_at_position(
         .groupBy("seq_id", "chunk_id")
         .agg(F.collect_set(F.struct("pos", "k")).alias("asked"))  # at most size positions per length
     )
+    asked = durable(asked)
+    total = asked.agg(F.sum(F.size("asked")).alias("n")).first()["n"] or 0
+    asked = F.broadcast(asked) if total <= _FEW_POSITIONS else asked.hint("merge")
     chunks = chunk_sequences(df, size, halo=context, left=context)
     start = F.col("chunk_start")
     texts = chunks.join(asked, ["seq_id", "chunk_id"]).select(
