@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 _NONE = np.empty(0, dtype=np.int64)
+_LONG_RUN = 4  # units read that make a run worth remembering
 
 
 @dataclass(frozen=True)
@@ -133,49 +134,96 @@ def exact_ranked(n: int, regions: list[tuple[int, int, int]], taken=None) -> lis
 
 
 def _agreement(codes: np.ndarray, p: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    total = np.zeros(p.size, dtype=np.int16)
+    total = np.zeros(p.size, dtype=np.int32)
     for i in range(k):
         total += codes[p + i] == codes[q + i]
     return total
 
 
-def possible_starts(codes: np.ndarray, k: int, rule: Rule) -> np.ndarray:
-    """Starts whose first ``min_repeat`` units are there, primitive or not.
+def _agreement_at(codes: np.ndarray, distance: int, k: int) -> np.ndarray:
+    """For every start, positions at which its unit agrees with the one ``distance`` later."""
+    same = same_after(codes, distance).view(np.uint8)
+    size = max(same.size - k + 1, 0)
+    total = same[:size].astype(np.uint8 if k < 256 else np.uint32)
+    for i in range(1, k):
+        total += same[i : i + size]
+    return total
+
+
+def _primitive_starts(codes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Which starts have a unit that is not a shorter word written several times?"""
+    keep = np.ones(starts.size, dtype=bool)
+    for d in range(1, k):
+        if k % d == 0:
+            keep &= _agreement(codes, starts, starts + d, k - d) < k - d
+    return keep
+
+
+@dataclass
+class Starts:
+    """Starts with enough units, and where reading stands after the last of these."""
+
+    start: np.ndarray
+    cursor: np.ndarray
+    gap: np.ndarray
+    used: np.ndarray
+
+    def pick(self, which) -> Starts:
+        return Starts(self.start[which], self.cursor[which], self.gap[which], self.used[which])
+
+    def moved(self, by: int) -> Starts:
+        return Starts(self.start + by, self.cursor + by, self.gap, self.used)
 
-    All starts advance together, one unit per round, as an array of cursors.
+
+def possible_starts(codes: np.ndarray, stops: np.ndarray, k: int, rule: Rule) -> Starts:
+    """Starts whose first ``min_repeat`` units are there, in texts laid end to end.
+
+    ``stops`` are the ends of the texts. All starts advance together, one unit per
+    round, as an array of cursors. The first round looks at fixed distances and
+    leaves few starts for the others.
     """
-    n = codes.size
-    starts = np.arange(max(n - k + 1, 0), dtype=np.int64)
-    cursor = starts + k
-    gap = np.zeros(starts.size, dtype=np.int64)
-    used = np.zeros(starts.size, dtype=np.int64)
     enough = k - rule.miss
-    for _ in range(rule.min_repeat - 1):
-        taken = np.full(starts.size, -1, dtype=np.int64)  # gap before this unit
-        room = cursor + k <= n
-        idx = np.flatnonzero(room)
-        good = idx[_agreement(codes, starts[idx], cursor[idx], k) >= enough]
-        taken[good] = 0
-        if rule.max_gap:
-            open_ = room & (taken < 0) & (used < rule.max_gaps)
-            # the gap of the run is already fixed; it may not end on the last character
-            idx = np.flatnonzero(open_ & (gap > 0))
-            idx = idx[cursor[idx] + gap[idx] + k < n]
-            good = idx[_agreement(codes, starts[idx], cursor[idx] + gap[idx], k) >= enough]
-            taken[good] = gap[good]
-            fresh = open_ & (gap == 0)
-            for g in range(1, rule.max_gap + 1):
-                idx = np.flatnonzero(fresh & (taken < 0))
-                idx = idx[cursor[idx] + g + k <= n]
-                good = idx[_agreement(codes, starts[idx], cursor[idx] + g, k) >= enough]
-                taken[good] = g
-            opened = taken > 0
-            gap = np.where(opened, taken, gap)
-            used += opened
+    gaps = rule.max_gap if rule.max_gaps else 0
+    none = np.uint8(255) if gaps < 255 else np.uint32(2**32 - 1)
+    chosen = np.full(codes.size, none, dtype=none.dtype)
+    for g in range(gaps, -1, -1):  # the smallest gap is written last
+        fits = _agreement_at(codes, k + g, k) >= enough
+        chosen[: fits.size][fits] = g
+    start = np.flatnonzero(chosen != none)
+    if rule.primitive_only:
+        start = start[_primitive_starts(codes, start, k)]
+    limit = stops[np.searchsorted(stops, start, side="right")] if start.size else start
+    gap = chosen[start].astype(np.int64)
+    now = Starts(start, start + 2 * k + gap, gap, (gap > 0).astype(np.int64))
+    inside = now.cursor <= limit
+    now, limit = now.pick(inside), limit[inside]
+    for _ in range(rule.min_repeat - 2):
+        taken = np.full(now.start.size, -1, dtype=np.int64)  # gap before this unit
+
+        def try_gap(idx: np.ndarray, size, spare: int = 0):
+            """Take a gap of ``size`` where a unit follows it, ``spare`` characters before the end."""
+            at = now.cursor[idx] + size
+            ok = at + k + spare <= limit[idx]
+            idx, at = idx[ok], at[ok]
+            good = _agreement(codes, now.start[idx], at, k) >= enough
+            taken[idx[good]] = at[good] - now.cursor[idx[good]]
+
+        everyone = np.arange(now.start.size)
+        try_gap(everyone, 0)
+        if gaps:
+            waiting = (taken < 0) & (now.used < rule.max_gaps) & (now.cursor + k <= limit)
+            # the gap of a run is fixed by its first use; a later one may not end on the last character
+            again = np.flatnonzero(waiting & (now.gap > 0))
+            try_gap(again, now.gap[again], spare=1)
+            for g in range(1, gaps + 1):
+                try_gap(np.flatnonzero(waiting & (now.gap == 0) & (taken < 0)), g)
         alive = taken >= 0
-        starts, gap, used = starts[alive], gap[alive], used[alive]
-        cursor = cursor[alive] + taken[alive] + k
-    return starts
+        now, limit, taken = now.pick(alive), limit[alive], taken[alive]
+        opened = taken > 0
+        now = Starts(
+            now.start, now.cursor + taken + k, np.where(opened, taken, now.gap), now.used + opened
+        )
+    return now
 
 
 @dataclass
@@ -196,16 +244,29 @@ class _Reader:
             return False
         return sum(map(str.__eq__, unit, seed)) >= self.k - self.rule.miss
 
-    def right(self, seed: str, cursor: int) -> tuple[int, int]:
-        """(units found, position after the last one)."""
-        n, k, found = len(self.text), self.k, 0
-        while cursor + k <= n:
-            jump = 0 if self._fits(seed, cursor) else self._jump_right(seed, cursor, n)
+    def right(self, seed: str, cursor: int, known: dict | None = None) -> tuple[int, int]:
+        """(units found, position after the last one).
+
+        ``known`` remembers, for long runs, what follows a place in the text. Starts
+        inside a run soon come to a place that an earlier start has been at.
+        """
+        n, k = len(self.text), self.k
+        path = []
+        more, stop = 0, cursor
+        while stop + k <= n:
+            place = (seed, self.gap, stop)
+            if known and place in known:
+                more, stop = known[place]
+                break
+            jump = 0 if self._fits(seed, stop) else self._jump_right(seed, stop, n)
             if jump is None:
                 break
-            cursor += jump + k
-            found += 1
-        return found, cursor
+            path.append(place)
+            stop += jump + k
+        found = len(path) + more
+        if known is not None and len(path) >= _LONG_RUN:
+            known.update((place, (found - i, stop)) for i, place in enumerate(path))
+        return found, stop
 
     def left(self, seed: str, cursor: int) -> tuple[int, int]:
         """(units found, position of the first one); ``cursor`` is a unit start."""
@@ -279,21 +340,29 @@ class Scan:
 class _Lane:
     """Starts of one motif length, asked for in increasing order."""
 
-    def __init__(self, text: str, codes: np.ndarray, k: int, rule: Rule):
+    def __init__(self, text: str, k: int, rule: Rule, starts: Starts):
         self.text, self.k, self.rule = text, k, rule
-        self.starts = possible_starts(codes, k, rule).tolist()
+        self.start = starts.start.tolist()
+        self.more = starts
+        self.at = 0
+        # what follows a place depends on the gaps used only where their limit can be met
+        self.known = {} if rule.max_gaps >= len(text) else None
 
     def next_start(self, pos: int) -> int:
-        i = bisect_left(self.starts, pos)
-        while i < len(self.starts):
-            p = self.starts[i]
-            if not self.rule.primitive_only or is_primitive(self.text[p : p + self.k]):
-                return p
-            i += 1
-        return -1
+        self.at = bisect_left(self.start, pos, self.at)
+        return self.start[self.at] if self.at < len(self.start) else -1
+
+    def run(self) -> tuple[int, int]:
+        """(units, last position) of the run at the start found last."""
+        i, p = self.at, self.start[self.at]
+        reader = _Reader(self.text, self.k, self.rule, int(self.more.gap[i]), int(self.more.used[i]))
+        found, stop = reader.right(self.text[p : p + self.k], int(self.more.cursor[i]), self.known)
+        return self.rule.min_repeat + found, stop - 1
 
 
-def scan_text(text: str, rule: Rule, borders=(), cut_short: bool = False, taken=None) -> Scan:
+def scan_text(
+    text: str, rule: Rule, borders=(), cut_short: bool = False, taken=None, starts=None
+) -> Scan:
     """All repeats of ``text`` under ``rule``, read from left to right.
 
     ``borders`` are positions at which to note the reading state: per motif
@@ -302,20 +371,25 @@ def scan_text(text: str, rule: Rule, borders=(), cut_short: bool = False, taken=
     ``cut_short`` says that the text goes on after its end; ``certain_to`` is
     then the position up to which that cannot have changed anything.
     ``taken`` is a byte per cell, set where the cell is covered beforehand.
+    ``starts`` are the possible starts per motif length, if known.
     """
-    codes = to_codes(text)
+    if starts is None:
+        codes, stops = to_codes(text), np.array([len(text)])
+        starts = [possible_starts(codes, stops, k, rule) for k in rule.k_list]
+    lanes = [_Lane(text, k, rule, found) for k, found in zip(rule.k_list, starts)]
     out = Scan(certain_to=len(text) - rule.reach if cut_short else len(text) + 1)
     if rule.policy == "position":
-        _scan_by_position(text, codes, rule, borders, cut_short, out)
+        _scan_by_position(lanes, rule, borders, cut_short, out)
         return out
     shared = taken if taken is not None else bytearray(len(text))
-    for k in rule.k_list:
+    for lane in lanes:
         cells = shared if rule.policy == "ranked" else bytearray(shared)
-        _scan_one(text, _Lane(text, codes, k, rule), k, rule, cells, borders, cut_short, out)
+        _scan_one(lane, rule, cells, borders, cut_short, out)
     return out
 
 
-def _scan_one(text, lane, k, rule, cells, borders, cut_short, out: Scan):
+def _scan_one(lane: _Lane, rule, cells, borders, cut_short, out: Scan):
+    k = lane.k
     marks = [[b, -1] for b in borders]
     waiting = list(range(len(borders)))
     pos = 0
@@ -326,7 +400,7 @@ def _scan_one(text, lane, k, rule, cells, borders, cut_short, out: Scan):
             mark[0] = max(pos, mark[0])
         if p < 0:
             break
-        cnt, end = extend_right(text, p, k, rule)
+        cnt, end = lane.run()
         if cut_short and end + rule.step >= out.certain_to:
             out.certain_to = min(out.certain_to, p)
         if cells.find(0, p, end + 1) < 0:
@@ -341,8 +415,7 @@ def _scan_one(text, lane, k, rule, cells, borders, cut_short, out: Scan):
     out.marks.append([tuple(m) for m in marks])
 
 
-def _scan_by_position(text, codes, rule, borders, cut_short, out: Scan):
-    lanes = [_Lane(text, codes, k, rule) for k in rule.k_list]
+def _scan_by_position(lanes: list[_Lane], rule, borders, cut_short, out: Scan):
     ahead = [-2] * len(lanes)  # next start per lane, -1 when there is none
     marks = [[b, -1] for b in borders]
     waiting = list(range(len(borders)))
@@ -359,7 +432,7 @@ def _scan_by_position(text, codes, rule, borders, cut_short, out: Scan):
         if p < 0:
             break
         k = rule.k_list[i]
-        cnt, end = extend_right(text, p, k, rule)
+        cnt, end = lanes[i].run()
         if cut_short and end + rule.step >= out.certain_to:
             out.certain_to = min(out.certain_to, p)
         out.rows.append((k, p, cnt, end))

@@ -38,6 +38,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FEW = 200_000  # rows of at most a few hundred bytes
+
+
+def join_few(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a side that is probably small, such as repeats.
+
+    ``few`` is written once and counted: up to a fixed number of rows it is
+    broadcast and ``many`` stays where it is, beyond that both are shuffled and
+    sorted. Spark must not decide by its own guess, since both sides are often
+    exploded, which it does not foresee.
+    """
+    few = durable(few)
+    few = F.broadcast(few) if few.count() <= _FEW else few.hint("merge")
+    return many.join(few, keys)
+
+
 def previous(
     df: DataFrame, keys: list[str], pos: str, order: list[Column], values: dict[str, Column],
     block: int = BLOCK,

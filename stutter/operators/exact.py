@@ -21,7 +21,7 @@ from ..functions import scan
 from ..functions.scalars import primitive_motif, rotate
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, chunk_sequences
-from .blocks import div
+from .blocks import div, join_few
 from .intervals import merge_intervals, uncovered_intervals
 
 REPEAT_COLUMNS = ["seq_id", "seq_name", "k", "motif", "cnt", "start_pos", "end_pos"]
@@ -222,8 +222,7 @@ def repeat_at_position(
         F.col("seq_id").cast("long").alias("seq_id"), F.col("pos").cast("long").alias("pos"),
         F.col("k").cast("int").alias("k"),
     ).withColumn("_block", div("pos", block))
-    # positions are often exploded, which hides their number: no broadcast on a guess
-    found = asked.hint("merge").join(regions_by_block(regions, block), ["seq_id", "k", "_block"]).where(
+    found = join_few(asked, regions_by_block(regions, block), ["seq_id", "k", "_block"]).where(
         (F.col("pos") >= F.col("start_pos"))
         & (F.col("pos") + F.col("k") <= F.col("start_pos") + F.col("length"))
     )
@@ -264,7 +263,7 @@ def cut_spanning_repeats(
     k = F.col("k").cast("long")
     low = F.greatest(F.col("start_pos"), F.col("cut") - k + 1)
     high = F.least(F.col("cut"), F.col("start_pos") + F.col("length") - k)
-    near = asked.hint("merge").join(regions_by_block(regions, block), ["seq_id", "_block"]).where(low <= high)
+    near = join_few(asked, regions_by_block(regions, block), ["seq_id", "_block"]).where(low <= high)
     windows = near.withColumn("pos", F.explode(F.sequence(low, high)))
     region = [F.col(c) for c in ("seq_id", "cut", "k", "start_pos")]
     before = div(F.col("pos") - F.col("start_pos"), k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, div, previous
+from .blocks import BLOCK, div, join_few, previous
 
 _BORDER = -1
 
@@ -119,8 +119,7 @@ def overlap_join(segments: DataFrame, repeats: DataFrame, block: int, how: str =
     right = repeats.withColumn(
         "_block", F.explode(F.sequence(div("start_pos", block), div("end_pos", block)))
     )
-    # Spark guesses the size of exploded rows far too low, so it must not pick a broadcast
-    pairs = left.join(right.hint("merge"), ["seq_id", "_block"]).where(
+    pairs = join_few(left, right, ["seq_id", "_block"]).where(
         (F.col("start_pos") <= F.col("seg_end"))
         & (F.col("end_pos") >= F.col("seg_start"))
         & (F.col("_block") == div(F.greatest("seg_start", "start_pos"), block))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import number_rows
+from .blocks import durable, number_rows
 
 
 def work_rows(sequences: DataFrame) -> DataFrame:
@@ -71,7 +71,8 @@ def sorted_repeats(repeats: DataFrame, rank: str = "rank") -> DataFrame:
     Sequence and start up, end and motif length down, motif for ties. A range
     sort, not a window over everything.
     """
-    keyed = repeats.withColumn("_end_down", -F.col("end_pos")).withColumn("_k_down", -F.col("k"))
+    # a range sort looks at its input twice; repeats are few and costly to find
+    keyed = durable(repeats).withColumn("_end_down", -F.col("end_pos")).withColumn("_k_down", -F.col("k"))
     order = ["seq_id", "start_pos", "_end_down", "_k_down", "motif"]
     numbered = number_rows(keyed, [], order, "_n")
     return numbered.withColumn(rank, F.col("_n") + 1).drop("_n", "_end_down", "_k_down")

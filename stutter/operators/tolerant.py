@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..functions import scan
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, assemble, chunk_sequences
 from .blocks import div, durable, previous
-from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA
+from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA, RowSpans, slices
 from .intervals import merge_intervals
 from .resolve import cells_taken, read_whole, repeats_batch, spread_of
 
@@ -45,14 +46,23 @@ def ordered_reader(rule: Rule):
 
     def read(batches):
         for batch in batches:
-            found = []
-            texts = batch.column("chunk").to_pylist()
-            origin = batch.column("chunk_start").to_pylist()
-            for r, text in enumerate(texts):
-                for k, p, cnt, end in scan.scan_text(text, rule, taken=cells_taken(batch, r, texts)).rows:
-                    found.append((r, k, text[p : p + k], cnt, p + origin[r], end + origin[r]))
-            if found:
-                yield repeats_batch(batch, found)
+            for part, texts in slices(batch, "chunk"):
+                rows = RowSpans(texts)
+                lanes = [scan.possible_starts(rows.codes, rows.stop, k, rule) for k in rule.k_list]
+                cuts = [np.searchsorted(lane.start, np.append(rows.start, rows.stop[-1])) for lane in lanes]
+                some = np.flatnonzero(sum(np.diff(cut) for cut in cuts))
+                found = []
+                for r in some.tolist():
+                    text, origin = texts[r], part["chunk_start"][r].as_py()
+                    starts = [
+                        lane.pick(slice(cut[r], cut[r + 1])).moved(-int(rows.start[r]))
+                        for lane, cut in zip(lanes, cuts)
+                    ]
+                    got = scan.scan_text(text, rule, taken=cells_taken(part, r, texts), starts=starts)
+                    for k, p, cnt, end in got.rows:
+                        found.append((r, k, text[p : p + k], cnt, p + origin, end + origin))
+                if found:
+                    yield repeats_batch(part, found)
 
     return read
 

@@ -15,7 +15,7 @@ from ..operators.blocks import div, number_rows
 HEADER_MARK = ">"
 _BROADCAST_SPLITS = 1_000_000  # rows of about 150 bytes
 _SPLITS_PER_PARTITION = 32  # 128 MB partitions, files counted as at least 4 MB
-_LINES_PER_BLOCK = 1 << 20
+_LINES_PER_BLOCK = 1 << 16
 
 
 def scan_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:

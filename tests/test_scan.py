@@ -107,3 +107,17 @@ def test_rule_is_checked():
     for bad in (dict(k_list=()), dict(k_list=(0,)), dict(k_list=(2,), min_repeat=1), dict(k_list=(2,), policy="x")):
         with pytest.raises(ValueError):
             Rule(**bad)
+
+
+def test_long_runs_inside_covered_text():
+    rnd = random.Random(9)
+    for _ in range(40):
+        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(2, 5)))
+        text = list((word + rnd.choice(["", "x"])) * rnd.randint(20, 60))
+        for _ in range(rnd.randint(0, 6)):
+            text[rnd.randrange(len(text))] = rnd.choice("abcx")
+        text = "".join(text)
+        for miss, gap, gaps in ((0, 1, 10**7), (1, 1, 10**7), (1, 2, 3), (0, 0, 10**7)):
+            rule = Rule((4, 3, 2, 5), 3, miss, gap, gaps)
+            got = [(k, text[p : p + k], c, p, e) for k, p, c, e in scan_text(text, rule).rows]
+            assert got == model.read(text, (4, 3, 2, 5), 3, miss, gap, gaps)
