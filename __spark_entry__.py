@@ -88,11 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[key] = sql
         return fn
 
     return add
@@ -111,6 +112,12 @@ def exact_repeats(spark, sf_dir):
     return doc_repeats(spark, sf_dir)
 
 
+@query(f"WITH {o.repeats(K1, 2, primitive=False)} {_R}")
+def any_motif_pairs(spark, sf_dir):
+    """Two units are enough, and motifs may be repeats themselves."""
+    return exact.exact_repeats(docs(spark, sf_dir), K1, min_repeat=2, primitive_only=False)
+
+
 # sources and sinks
 
 
@@ -230,7 +237,8 @@ _WORDS = "SELECT DISTINCT unnest(string_split(text, ' ')) AS m FROM documents"
 
 
 @query(
-    f"SELECT m, strpos(substr(m || m, 2), m) = length(m) AS is_primitive FROM ({_WORDS}) WHERE m <> ''"
+    f"SELECT m, strpos(substr(m || m, 2), m) = length(m) AS is_primitive FROM ({_WORDS}) WHERE m <> ''",
+    name="primitive_motif",
 )
 def primitive_motif_words(spark, sf_dir):
     m = words(spark, sf_dir).select(F.explode("w").alias("m")).where("m <> ''").distinct()
@@ -241,7 +249,7 @@ def primitive_motif_words(spark, sf_dir):
        len([i FOR i IN range(1, length(a) + 1) IF substr(a, i, 1) = substr(b, i, 1)]) >= length(a) - 1 AS close
 FROM (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (
   SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(text, ' ') AS w FROM documents)))
-WHERE length(a) = length(b) AND a <> ''""")
+WHERE length(a) = length(b) AND a <> ''""", name="match_count")
 def match_count_words(spark, sf_dir):
     w = words(spark, sf_dir).where(F.size("w") > 1)
     pairs = w.select(
@@ -335,7 +343,7 @@ def uncovered_repeats(spark, sf_dir):
     return exact.uncovered_repeats(docs(spark, sf_dir), mask, K)
 
 
-@query(f"WITH {o.repeats([2])} SELECT seq_name, motif, cnt, start_pos FROM repeats")
+@query(f"WITH {o.repeats([2])} SELECT seq_name, motif, cnt, start_pos FROM repeats", name="single_k_repeats")
 def single_k_repeats_two(spark, sf_dir):
     return single_k_repeats(docs(spark, sf_dir), 2)
 
@@ -352,7 +360,7 @@ def shifted_tolerant(spark, sf_dir):
     return find_repeats(events(spark, sf_dir), [2, 3], miss=1, policy="separate", every_start=True)
 
 
-@query(f"WITH {o.repeats(K)} SELECT seq_name, motif, cnt, start_pos FROM repeats")
+@query(f"WITH {o.repeats(K)} SELECT seq_name, motif, cnt, start_pos FROM repeats", name="get_repeats")
 def get_repeats_all(spark, sf_dir):
     return get_repeats(docs(spark, sf_dir), RANKED)
 
@@ -367,7 +375,7 @@ def get_repeats_gapped(spark, sf_dir):
 
 @query(f"""WITH {o.DOCS}, cut AS (SELECT *, unnest(range(0, (length(seq) + 999) // 1000)) AS c FROM seqs)
 SELECT seq_id, seq_name, c::BIGINT AS chunk_id, (c * 1000)::BIGINT AS chunk_start,
-       substr(seq, c * 1000 + 1, 1006) AS chunk FROM cut""")
+       substr(seq, c * 1000 + 1, 1006) AS chunk FROM cut""", name="chunk_sequences")
 def chunk_sequences_thousand(spark, sf_dir):
     return chunk_sequences(docs(spark, sf_dir), 1000, halo=6)
 
@@ -492,29 +500,43 @@ def partial_unit_extension(spark, sf_dir):
     )
 
 
-_MASKED = f"""{o.regions([1, 2, 3], seqs=o.EVENTS)},
-{_extensions("cuts AS (SELECT seq_id, unnest(range(12, length(seq), 12)) AS cut FROM seqs)", _cut(12))},
+def _masked(ks: list[int], size: int, seqs: str) -> str:
+    """CTE ``seqs``: segments as sequences of their own, with the cells the mask covers."""
+    cuts = f"cuts AS (SELECT seq_id, unnest(range({size}, length(seq), {size})) AS cut FROM seqs)"
+    inner = f"""WITH {o.regions(sorted(ks), seqs=seqs)}, {_extensions(cuts, _cut(size))},
 hidden AS (SELECT seq_id, chunk_id, unnest(range(greatest(start_pos - ext_before - seg_start, 0),
-                  least(end_pos + ext_after, seg_end) - seg_start + 1)) AS cell FROM extensions),
-parts AS (SELECT s.seq_id * 1000 + s.chunk_id AS seq_id, any_value(s.seq_name) AS seq_name, any_value(chunk) AS seq,
-                 list(DISTINCT cell) AS cells
-          FROM segs s LEFT JOIN hidden h ON h.seq_id = s.seq_id AND h.chunk_id = s.chunk_id GROUP BY s.seq_id, s.chunk_id)"""
+                  least(end_pos + ext_after, seg_end) - seg_start + 1))::BIGINT AS cell FROM extensions)
+SELECT s.seq_id * 1000000 + s.chunk_id AS seq_id, any_value(s.seq_name) AS seq_name, any_value(chunk) AS seq,
+       coalesce(list(DISTINCT cell) FILTER (cell IS NOT NULL), []::BIGINT[]) AS cells
+FROM segs s LEFT JOIN hidden h ON h.seq_id = s.seq_id AND h.chunk_id = s.chunk_id GROUP BY s.seq_id, s.chunk_id"""
+    return f"seqs AS ({inner})"
+
+
+def _back(size: int) -> str:
+    at = f"{size} * (seq_id % 1000000)"
+    return (
+        "(seq_id // 1000000)::BIGINT AS seq_id, seq_name, k, motif, cnt, "
+        f"(start_pos + {at})::BIGINT AS start_pos, (end_pos + {at})::BIGINT AS end_pos"
+    )
 
 
 @query(
     o.reading(
-        [3, 2, 1], seqs=_MASKED, source="parts",
+        [3, 2, 1], seqs=_masked([3, 2, 1], 12, o.EVENTS), columns=_back(12),
         covered="array_to_string([CASE WHEN list_contains(cells, c) THEN '1' ELSE '0' END "
         "FOR c IN range(0, length(seq))], '')",
-        columns="(seq_id // 1000)::BIGINT AS seq_id, seq_name, k, motif, cnt, "
-        "(start_pos + 12 * (seq_id % 1000))::BIGINT AS start_pos, (end_pos + 12 * (seq_id % 1000))::BIGINT AS end_pos",
     )
 )
 def masked_segment_scan(spark, sf_dir):
     return segments.masked_segment_scan(events(spark, sf_dir), 12, Rule((3, 2, 1)))
 
 
-@query()
+@query(
+    o.ranked_candidates(
+        RANKED, seqs=_masked(RANKED, SEGMENT, o.DOCS), columns=_back(SEGMENT),
+        before="SELECT seq_id, cells FROM seqs WHERE seq_id IN (SELECT seq_id FROM queue)",
+    )
+)
 def masked_document_scan(spark, sf_dir):
     return segments.masked_segment_scan(docs(spark, sf_dir), SEGMENT, Rule(tuple(RANKED)))
 

@@ -28,7 +28,7 @@ HTML = (
 REPEAT = "seq_id, seq_name, k, motif, cnt, start_pos, end_pos"
 
 
-def regions(ks, min_repeat: int = 3, seqs: str = DOCS) -> str:
+def regions(ks, min_repeat: int = 3, seqs: str = DOCS, primitive: bool = True) -> str:
     """CTEs ``seqs, chars, steps, islands, regions`` for exact repeats."""
     leads = ", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in ks)
     same = " UNION ALL ".join(f"SELECT seq_id, {k} AS k, p FROM leads WHERE c = c{k}" for k in ks)
@@ -43,11 +43,11 @@ islands AS (SELECT seq_id, k, min(p) AS a, count(*) AS m FROM (
 regions AS (SELECT * FROM (
               SELECT i.seq_id, s.seq_name, i.k::INTEGER AS k, substr(s.seq, i.a + 1, i.k) AS motif, i.a, i.m + i.k AS len, s.seq
               FROM islands i JOIN seqs s USING (seq_id))
-            WHERE strpos(substr(motif || motif, 2), motif) = length(motif))"""
+            WHERE {"strpos(substr(motif || motif, 2), motif) = length(motif)" if primitive else "TRUE"})"""
 
 
-def repeats(ks, min_repeat: int = 3, seqs: str = DOCS) -> str:
-    return f"""{regions(ks, min_repeat, seqs)},
+def repeats(ks, min_repeat: int = 3, seqs: str = DOCS, primitive: bool = True) -> str:
+    return f"""{regions(ks, min_repeat, seqs, primitive)},
 repeats AS (SELECT seq_id, seq_name, k, motif, (len // k)::BIGINT AS cnt, a::BIGINT AS start_pos,
                    (a + (len // k) * k - 1)::BIGINT AS end_pos FROM regions)"""
 
@@ -60,22 +60,29 @@ def merged(source: str, name: str = "merged") -> str:
   GROUP BY seq_id, g)"""
 
 
-def ranked_candidates(ks, min_repeat: int = 3, seqs: str = DOCS) -> str:
-    """Competing lengths, one candidate at a time, with the covered cells as a list."""
+def ranked_candidates(
+    ks, min_repeat: int = 3, seqs: str = DOCS, before: str = "SELECT DISTINCT seq_id, []::BIGINT[] AS cells FROM queue",
+    columns: str = REPEAT,
+) -> str:
+    """Competing lengths, one candidate at a time, with the covered cells as a list.
+
+    ``before`` gives the cells that are covered from the start.
+    """
     rank = " ".join(f"WHEN {k} THEN {i}" for i, k in enumerate(ks))
     phase = "[t FOR t IN range(0, len % k + 1) IF NOT list_has_all(cells, range(a + t, a + t + (len // k) * k))][1]"
     return f"""WITH RECURSIVE {regions(sorted(ks), min_repeat, seqs)},
 queue AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY CASE k {rank} END, a) AS i FROM regions),
 fold AS (
-  SELECT seq_id, 0::BIGINT AS i, NULL::BIGINT AS t, []::BIGINT[] AS cells FROM (SELECT DISTINCT seq_id FROM queue)
+  SELECT seq_id, 0::BIGINT AS i, NULL::BIGINT AS t, cells FROM ({before})
   UNION ALL
   SELECT seq_id, i, t, CASE WHEN t IS NULL THEN cells
                             ELSE list_concat(cells, range(a + t, a + t + (len // k) * k)) END
   FROM (SELECT q.seq_id, q.i, q.a, q.k, q.len, f.cells, {phase} AS t
         FROM fold f JOIN queue q ON q.seq_id = f.seq_id AND q.i = f.i + 1))
-SELECT q.seq_id, q.seq_name, q.k, substr(q.seq, q.a + f.t + 1, q.k) AS motif, (q.len // q.k)::BIGINT AS cnt,
-       (q.a + f.t)::BIGINT AS start_pos, (q.a + f.t + (q.len // q.k) * q.k - 1)::BIGINT AS end_pos
-FROM fold f JOIN queue q USING (seq_id, i) WHERE f.t IS NOT NULL"""
+SELECT {columns} FROM (
+  SELECT q.seq_id, q.seq_name, q.k, substr(q.seq, q.a + f.t + 1, q.k) AS motif, (q.len // q.k)::BIGINT AS cnt,
+         (q.a + f.t)::BIGINT AS start_pos, (q.a + f.t + (q.len // q.k) * q.k - 1)::BIGINT AS end_pos
+  FROM fold f JOIN queue q USING (seq_id, i) WHERE f.t IS NOT NULL)"""
 
 
 def _fits(at: str, miss: int) -> str:

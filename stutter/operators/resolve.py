@@ -184,7 +184,7 @@ def ranked_regions(regions: DataFrame, rule: Rule, block: int = BLOCK) -> DataFr
     spark = regions.sparkSession
     covered = spark.createDataFrame([], "seq_id long, start_pos long, end_pos long")
     reports = []
-    for k in rule.k_list:
+    for i, k in enumerate(rule.k_list):
         mine = regions.where(F.col("k") == k)
         span = F.col("length") - F.col("length") % k
         asked = mine.withColumn("_last", F.col("start_pos") + span - 1)
@@ -215,6 +215,8 @@ def ranked_regions(regions: DataFrame, rule: Rule, block: int = BLOCK) -> DataFr
         kept = settled.withColumn("_shift", shift).where(F.col("_shift").isNotNull())
         found = durable(as_repeats(kept, F.col("_shift")))
         reports.append(found)
+        if i + 1 == len(rule.k_list):
+            break
         covered = durable(
             merge_intervals(
                 covered.unionByName(found.select("seq_id", "start_pos", "end_pos")), block=block

@@ -80,25 +80,31 @@ def _read_ranges(texts: DataFrame, rule: Rule, context: int) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 text, origin, lo, hi = row["text"], row["text_start"], row["lo"], row["hi"]
                 goes_on = len(text) == hi + context - origin
                 has_next = len(text) > hi - origin
                 borders = [lo - origin, hi - origin] if has_next else [lo - origin]
                 got = scan.scan_text(text, rule, borders, cut_short=goes_on)
-                head = dict(seq_id=row["seq_id"], seq_name=row["seq_name"], lo=lo, hi=hi)
-                out = [
-                    dict(head, kind="repeat", k=k, motif=text[p : p + k], cnt=cnt,
-                         start_pos=p + origin, end_pos=end + origin)
-                    for k, p, cnt, end in got.rows
-                    if lo <= p + origin < hi
+                mine = [r for r in got.rows if lo <= r[1] + origin < hi]
+                n = len(mine)
+                states = [
+                    _state(got.marks, 0, origin), _state(got.marks, 1, origin) if has_next else None,
+                    got.certain_to >= hi - origin,
                 ]
-                out.append(
-                    dict(head, kind="range", state_in=_state(got.marks, 0, origin),
-                         state_out=_state(got.marks, 1, origin) if has_next else None,
-                         sure=got.certain_to >= hi - origin)
+                # one row per repeat, then one for the range
+                columns = [[row[c]] * (n + 1) for c in ("seq_id", "seq_name", "lo", "hi")]
+                columns.append(["repeat"] * n + ["range"])
+                columns.append([k for k, *_ in mine] + [None])
+                columns.append([text[p : p + k] for k, p, *_ in mine] + [None])
+                columns.append([cnt for _, _, cnt, _ in mine] + [None])
+                columns.append([p + origin for _, p, *_ in mine] + [None])
+                columns.append([end + origin for *_, end in mine] + [None])
+                columns += [[None] * n + [state] for state in states]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, _READ_ARROW)], schema=_READ_ARROW
                 )
-                yield pa.RecordBatch.from_pylist(out, schema=_READ_ARROW)
 
     return texts.mapInArrow(read, _READ_SCHEMA)
 
@@ -178,13 +184,17 @@ def _runs_around(texts: DataFrame, rule: Rule, context: int) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.select(["seq_id", "seq_name", "hi", "text_start", "text"]).slice(i, 1).to_pylist()[0]
                 text, origin = row["text"], row["text_start"]
                 goes_on = len(text) == row["hi"] + context - origin
-                out = []
-                for ask in row["asked"]:
-                    at, k = ask["pos"] - origin, ask["k"]
-                    run = scan.run_around(text, at, k, rule)
+                asked = batch["asked"][i].values
+                found = []
+                for pos, k in zip(asked.field("pos").to_pylist(), asked.field("k").to_pylist()):
+                    if goes_on and pos - origin + k > len(text):  # not even the unit is in sight
+                        found.append((k, None, pos, 0, pos, pos, True))
+                        continue
+                    run = scan.run_around(text, pos - origin, k, rule)
                     if run is None:
                         continue
                     start, cnt, end = run
@@ -192,13 +202,13 @@ def _runs_around(texts: DataFrame, rule: Rule, context: int) -> DataFrame:
                         goes_on and end + rule.step + k >= len(text)
                     )
                     if open_ or cnt >= rule.min_repeat:
-                        out.append(dict(
-                            seq_id=row["seq_id"], seq_name=row["seq_name"], k=k, motif=text[at : at + k],
-                            pos=ask["pos"], cnt=cnt, start_pos=start + origin, end_pos=end + origin,
-                            open=open_,
-                        ))
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_AROUND_ARROW)
+                        motif = text[pos - origin : pos - origin + k]
+                        found.append((k, motif, pos, cnt, start + origin, end + origin, open_))
+                if found:
+                    columns = [[row["seq_id"]] * len(found), [row["seq_name"]] * len(found), *zip(*found)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(columns, _AROUND_ARROW)], schema=_AROUND_ARROW
+                    )
 
     return texts.mapInArrow(read, _AROUND_SCHEMA)
 
