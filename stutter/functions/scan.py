@@ -95,12 +95,18 @@ def long_runs(flags: np.ndarray, at_least: int) -> tuple[np.ndarray, np.ndarray]
     return first, last - first + at_least
 
 
-def edge_run(flags: np.ndarray) -> int:
-    """Length of the run of true at the beginning."""
-    if flags.size == 0:
-        return 0
-    stop = int(np.argmin(flags))
-    return stop if not flags[stop] else int(flags.size)
+def border_runs(flags: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int):
+    """(first, length) of runs of true that begin at ``begins`` or stop before ``ends``."""
+    if begins.size == 0 and ends.size == 0:
+        return
+    breaks = np.concatenate(([-1], np.flatnonzero(~flags), [flags.size]))
+    begins = begins[begins < flags.size]
+    after = breaks[np.searchsorted(breaks, begins)] - begins
+    yield from zip(begins[after > 0].tolist(), after[after > 0].tolist())
+    ends = ends[ends <= flags.size]
+    before = np.minimum(ends - breaks[np.searchsorted(breaks, ends) - 1] - 1, size)
+    ends, before = ends[before > 0], before[before > 0]
+    yield from zip((ends - before).tolist(), before.tolist())
 
 
 # -- exact repeats on one whole text ---------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def durable_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """:func:`durable`, and how many rows meet a condition, counted while they are written."""
+    seen = Observation()
+    kept = durable(df.observe(seen, F.count_if(condition).alias("n")))
+    return kept, seen.get["n"]
+
+
 _FEW = 200_000  # rows of at most a few hundred bytes
 
 
@@ -49,8 +56,8 @@ def join_few(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     sorted. Spark must not decide by its own guess, since both sides are often
     exploded, which it does not foresee.
     """
-    few = durable(few)
-    few = F.broadcast(few) if few.count() <= _FEW else few.hint("merge")
+    few, n = durable_counted(few, F.lit(True))
+    few = F.broadcast(few) if n <= _FEW else few.hint("merge")
     return many.join(few, keys)
 
 

@@ -72,8 +72,11 @@ class RowSpans:
         tails = (self.stop[:, None] - np.arange(1, k + 1)).ravel()
         flags[tails[(tails >= 0) & (tails < flags.size)]] = False
         if limit is not None:
-            for i in np.flatnonzero(self.stop - self.start > limit):
-                flags[self.start[i] + limit : self.stop[i]] = False
+            over = np.flatnonzero(self.stop - self.start > limit)
+            if over.size:
+                first, stop = self.start[over] + limit, self.stop[over]
+                cells = first[:, None] + np.arange((stop - first).max())
+                flags[cells[(cells < stop[:, None]) & (cells < flags.size)]] = False
         return flags
 
 
@@ -90,18 +93,9 @@ def _find_runs(batches, k_list, min_repeat, primitive_only, size):
             runs = dict(zip(first.tolist(), length.tolist()))
             border = set()
             # runs at a chunk border may go on next door, so they count at any length
-            for i in inner:
-                m = scan.edge_run(flags[rows.start[i] : rows.start[i] + size])
-                if m:
-                    runs[int(rows.start[i])] = m
-                    border.add(int(rows.start[i]))
-            for i in more:
-                core = flags[rows.start[i] : rows.start[i] + size]
-                m = scan.edge_run(core[::-1])
-                if m:
-                    at = int(rows.start[i]) + size - m
-                    runs[at] = m
-                    border.add(at)
+            for at, m in scan.border_runs(flags, rows.start[inner], rows.start[more] + size, size):
+                runs[at] = m
+                border.add(at)
             if not runs:
                 continue
             at = np.fromiter(runs, np.int64, len(runs))

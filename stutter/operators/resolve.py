@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import scan
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, chunk_sequences, is_pieces
-from .blocks import BLOCK, div, durable, previous
+from .blocks import BLOCK, div, durable, durable_counted, previous
 from .exact import (
     REPEAT_ARROW,
     REPEAT_SCHEMA,
@@ -113,12 +113,11 @@ def read_whole(df: DataFrame, size: int, reader) -> tuple[DataFrame, DataFrame |
                 )
             yield from reader([batch.filter(pc.is_valid(batch.column("chunk")))])
 
-    found = durable(rows.mapInArrow(read, REPEAT_SCHEMA))
-    markers = found.where("k is null")
-    if markers.isEmpty():
+    found, markers = durable_counted(rows.mapInArrow(read, REPEAT_SCHEMA), F.col("k").isNull())
+    if not markers:
         return found, None
     if is_pieces(df):
-        long = df.join(markers.select("seq_id"), "seq_id", "left_semi")
+        long = df.join(found.where("k is null").select("seq_id"), "seq_id", "left_semi")
     else:
         long = df.where(F.length("seq") > size)
     return found.where("k is not null"), long

@@ -27,6 +27,14 @@ def test_chunk_size_does_not_matter(spark, seqs, size):
     assert repeat_rows(exact.chunked_repeats(pieces(spark, TEXTS), (1, 2, 3, 6), size, spread=3)) == want
 
 
+def test_every_chunk_in_a_task_of_its_own(spark):
+    texts = ["abc" * n + tail for n in range(2, 9) for tail in ("", "a", "ab", "x")]
+    frame = sequences(spark, texts)
+    want = expected(texts, (2, 3), policy="separate")
+    for size in (3, 6, 7):
+        assert repeat_rows(exact.chunked_repeats(frame, (2, 3), size, spread=200)) == want
+
+
 @pytest.mark.parametrize("min_repeat", [2, 4])
 def test_min_repeat_and_any_motif(seqs, min_repeat):
     assert repeat_rows(exact.exact_repeats(seqs, (2, 3), min_repeat)) == expected(
