@@ -3,8 +3,8 @@
 For a motif length k, let ``same(i)`` mean that characters i and i+k agree. A
 maximal run of ``same`` from a, m long, is a region of m+k characters with
 period k; each region with enough units and a primitive motif is one repeat.
-Runs are found chunk by chunk without a shuffle; only runs, not characters, are
-then linked across chunk borders.
+Runs are found chunk by chunk without a shuffle and written once; only those that
+touch a chunk border are then linked with their neighbours.
 """
 
 from __future__ import annotations
@@ -21,16 +21,18 @@ from ..functions import scan
 from ..functions.scalars import primitive_motif, rotate
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, chunk_sequences
-from .blocks import div, join_few
+from .blocks import div, durable_counted, join_few
 from .intervals import merge_intervals, uncovered_intervals
 
 REPEAT_COLUMNS = ["seq_id", "seq_name", "k", "motif", "cnt", "start_pos", "end_pos"]
 _SLICE = 4 << 20  # characters looked at together in a task
 
-_RUN_SCHEMA = "seq_id long, seq_name string, k int, motif string, start_pos long, end_pos long"
+_RUN_SCHEMA = (
+    "seq_id long, seq_name string, k int, motif string, start_pos long, end_pos long, border boolean"
+)
 _RUN_ARROW = pa.schema(
     [("seq_id", pa.int64()), ("seq_name", pa.string()), ("k", pa.int32()), ("motif", pa.string()),
-     ("start_pos", pa.int64()), ("end_pos", pa.int64())]
+     ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("border", pa.bool_())]
 )
 REPEAT_SCHEMA = (
     "seq_id long, seq_name string, k int, motif string, cnt long, start_pos long, end_pos long"
@@ -86,7 +88,7 @@ def _find_runs(batches, k_list, min_repeat, primitive_only, size):
         origin = np.asarray(part.column("chunk_start"), dtype=np.int64)
         more = np.flatnonzero(rows.stop - rows.start > size)
         inner = np.flatnonzero(origin > 0)
-        out = ([], [], [], [], [])  # row, k, motif, first, last
+        out = ([], [], [], [], [], [])  # row, k, motif, first, last, at a border
         for k in k_list:
             flags = rows.same(k, size)
             first, length = scan.long_runs(flags, (min_repeat - 1) * k)
@@ -105,13 +107,13 @@ def _find_runs(batches, k_list, min_repeat, primitive_only, size):
                 if primitive_only and a not in border and not scan.is_primitive(motif):
                     continue
                 begin = int(origin[r]) + a - int(rows.start[r])
-                for cell, value in zip(out, (r, k, motif, begin, begin + runs[a] - 1)):
+                for cell, value in zip(out, (r, k, motif, begin, begin + runs[a] - 1, a in border)):
                     cell.append(value)
         take = pa.array(out[0], pa.int64())
         return pa.RecordBatch.from_arrays(
             [part.column("seq_id").take(take), part.column("seq_name").take(take),
              pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()),
-             pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
+             pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.bool_())],
             schema=_RUN_ARROW,
         )
 
@@ -144,16 +146,21 @@ def exact_regions(
     def find(batches):
         return _find_runs(batches, ks, min_repeat, primitive_only, size)
 
-    runs = chunks.mapInArrow(find, _RUN_SCHEMA)
+    runs, at_borders = durable_counted(chunks.mapInArrow(find, _RUN_SCHEMA), F.col("border"))
+    length = F.col("end_pos") - F.col("start_pos") + 1
+    columns = ["seq_id", "seq_name", "k", "motif", "start_pos", (length + F.col("k")).alias("length")]
+    inside = runs.where("not border").select(*columns)
+    if not at_borders:
+        return inside
     # a block is a whole number of chunks, so that only chunk borders meet block borders
-    block = size * max(1, (1 << 26) // size)
     linked = merge_intervals(
-        runs, ["seq_id", "seq_name", "k"], ["motif"], block=block, distinct_starts=False
+        runs.where("border"), ["seq_id", "seq_name", "k"], ["motif"],
+        block=size * max(1, (1 << 26) // size), distinct_starts=False,
+    )
+    enough = length >= F.lit(min_repeat - 1) * F.col("k")
+    return inside.unionByName(
+        linked.where(enough & primitive_motif("motif", primitive_only)).select(*columns)
     )
-    length = F.col("end_pos") - F.col("start_pos") + 1
-    return linked.where(
-        (length >= (F.lit(min_repeat - 1) * F.col("k"))) & primitive_motif("motif", primitive_only)
-    ).select("seq_id", "seq_name", "k", "motif", "start_pos", (length + F.col("k")).alias("length"))
 
 
 def as_repeats(regions: DataFrame, shift: Column | None = None) -> DataFrame:

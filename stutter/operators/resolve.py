@@ -232,10 +232,8 @@ def ranked_repeats(df: DataFrame, rule: Rule, size: int = CHUNK_SIZE, block: int
     found, long = read_whole(df, size, ranked_reader(rule))
     if long is None:
         return found
-    regions = durable(
-        exact_regions(long, rule.k_list, rule.min_repeat, rule.primitive_only, size, spread=spread_of(df))
-    )
-    return found.unionByName(ranked_regions(regions, rule, block))
+    regions = exact_regions(long, rule.k_list, rule.min_repeat, rule.primitive_only, size, spread=spread_of(df))
+    return found.unionByName(ranked_regions(durable(regions), rule, block))
 
 
 def spread_of(df: DataFrame) -> int:

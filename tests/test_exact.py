@@ -151,7 +151,11 @@ def test_order_of_input_does_not_matter(seqs):
         assert repeat_rows(exact.exact_repeats(seqs.repartition(n, F.rand(n)), (2, 3))) == want
 
 
-def test_plan_has_two_light_shuffles(seqs):
-    plan = exact.exact_repeats(seqs, (2, 3))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 2
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+def test_only_border_runs_are_shuffled(seqs):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(exact.exact_repeats(seqs, (2, 3)))
+    cut = plan(exact.exact_repeats(seqs, (2, 3), size=16))
+    assert cut.count("Exchange") == 2
+    assert "CartesianProduct" not in cut and "NestedLoop" not in cut
