@@ -26,6 +26,7 @@ from .intervals import merge_intervals, uncovered_intervals
 
 REPEAT_COLUMNS = ["seq_id", "seq_name", "k", "motif", "cnt", "start_pos", "end_pos"]
 _SLICE = 4 << 20  # characters looked at together in a task
+_LOOKUP_BLOCK = 1 << 10  # positions that are compared with the regions near them
 
 _RUN_SCHEMA = (
     "seq_id long, seq_name string, k int, motif string, start_pos long, end_pos long, border boolean"
@@ -209,7 +210,7 @@ def regions_by_block(regions: DataFrame, block: int) -> DataFrame:
 
 def repeat_at_position(
     df: DataFrame, positions: DataFrame, min_repeat: int = 3, primitive_only: bool = True,
-    k_list=None, block: int = 1 << 16, **options,
+    k_list=None, block: int = _LOOKUP_BLOCK, **options,
 ) -> DataFrame:
     """The exact repeat through each ``(seq_id, pos, k)``, seeded at that position.
 
@@ -249,7 +250,7 @@ def _around(found: DataFrame, min_repeat: int) -> DataFrame:
 
 def cut_spanning_repeats(
     df: DataFrame, cuts: DataFrame, k_list, min_repeat: int = 3, primitive_only: bool = True,
-    block: int = 1 << 16, **options,
+    block: int = _LOOKUP_BLOCK, **options,
 ) -> DataFrame:
     """Repeats that cover cut positions: one row per (cut, k, region).
 

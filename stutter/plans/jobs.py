@@ -25,6 +25,7 @@ def find_repeats(
     policy: str = "ranked",
     every_start: bool = False,
     size: int = CHUNK_SIZE,
+    spread: int | None = None,
 ) -> DataFrame:
     """Repeats of sequences or pieces: ``(seq_id, seq_name, k, motif, cnt, start_pos, end_pos)``.
 
@@ -33,13 +34,17 @@ def find_repeats(
     length on its own, ``position`` takes the first length in the list at each
     position. ``miss`` and ``max_gap`` are tolerated mismatches per unit and the
     largest gap between units.
+    ``spread`` partitions the chunks of ``separate`` exact reading anew, for inputs
+    of few long strings; the other policies always do so for long sequences.
     """
     rule = Rule(tuple(k_list), min_repeat, miss, max_gap, max_gaps, primitive_only, policy, every_start)
     if rule.exact and policy == "ranked" and not every_start:
         return ranked_repeats(df, rule, size)
     if rule.exact and policy == "separate":
         how = shifted_repeats if every_start else exact_repeats
-        return how(df, rule.k_list, min_repeat=min_repeat, primitive_only=primitive_only, size=size)
+        return how(
+            df, rule.k_list, min_repeat=min_repeat, primitive_only=primitive_only, size=size, spread=spread
+        )
     return tolerant_repeats(df, rule, size)
 
 
