@@ -152,10 +152,13 @@ def symbol_pieces(
 ) -> DataFrame:
     """Rows as one string per key, one symbol each, in a total ``order``; as pieces.
 
-    A key with a third of all rows is sorted and numbered over many tasks, and
+    The first character of ``symbol`` counts; rows without one are left out. A key with a third of all rows is sorted and numbered over many tasks, and
     never put together beyond ``size`` symbols.
     """
-    narrow = rows.select(F.col(key).cast("long").alias("seq_id"), *order, symbol.alias("_symbol"))
+    first = F.substring(symbol, 1, 1)
+    narrow = rows.select(F.col(key).cast("long").alias("seq_id"), *order, first.alias("_symbol")).where(
+        F.col("_symbol") != ""
+    )
     numbered = number_rows(narrow, ["seq_id"], order, "_pos")
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_symbol"))), lambda x: x["_symbol"]), ""
