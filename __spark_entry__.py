@@ -609,9 +609,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return exact_repeats(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the optional subpackage; none where it has been removed."""
+    try:
+        from stutter.llm import queries as extra
+    except ModuleNotFoundError as e:
+        if e.name not in ("stutter.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    return extra.QUERIES, extra.ORACLES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | _training_data()[1]
