@@ -154,7 +154,8 @@ def top_k(
     c = dealt(rows, c_blocks).groupBy("block").applyInArrow(_block(scale), _BLOCK)
     q = dealt(queries, q_blocks).groupBy("block").applyInArrow(_block(scale), _BLOCK)
     q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns if x != "block"],
-                 F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("block"))
+                 F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
+    q = q.withColumn("block", F.col("block").cast("long"))
     found = c.hint("merge").join(q, "block").mapInArrow(_search(k), _BEST)
     rank = F.row_number().over(W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
