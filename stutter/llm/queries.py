@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .jaccard_join import jaccard_join
+from .line_chunks import line_dedup
 from .packing import pack_documents
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -89,3 +90,10 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256"
+    )
