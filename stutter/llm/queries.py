@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .line_chunks import line_dedup
 from .packing import pack_documents
+from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -97,3 +99,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256"
     )
+
+
+@_query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
