@@ -612,9 +612,9 @@ def entry(spark: SparkSession) -> DataFrame:
 def _training_data() -> tuple[dict, dict]:
     """Queries and SQL of the optional subpackage; none where it has been removed."""
     try:
-        from stutter.llm import queries as extra
+        import stutter.llm.queries as extra
     except ModuleNotFoundError as e:
-        if e.name not in ("stutter.llm", "corpus_pipeline"):
+        if e.name not in ("stutter.llm", "stutter.llm.queries", "corpus_pipeline"):
             raise
         return {}, {}
     return extra.QUERIES, extra.ORACLES

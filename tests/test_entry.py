@@ -21,12 +21,12 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = entry.QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
-    sql = entry.oracle_sql().get(name)
+    sql = entry.ORACLES.get(name)
     if sql is None:
         assert got
         return
