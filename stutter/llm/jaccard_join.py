@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import (
-    FOLDED, blob, bucket_count, by_document, connected, distinct_rows, folded, look_up, pack, places, shared_hashes, text_bytes,
+    FOLDED, PACKED, blob, bucket_count, by_document, connected, distinct_rows, documents, folded, look_up, pack, places, shared_hashes, text_bytes,
     values, with_few, written,
 )
 from .text import Windows, Words, mix, slices
@@ -119,13 +119,13 @@ def _sent(buckets: int, fold_rows: bool):
                     yield folded(buckets, h, key)
                 elif len(h):
                     h, key = distinct_rows(h, key)
-                    yield pack(buckets, h, key=key)
+                    yield pack(buckets, h, key)
 
     return run
 
 
 def _found(row, h, other, lo, n):
-    mine, key = values(row["h"], np.uint64), values(row["key"], np.int64)
+    mine, key = values(row["h"], np.uint64), documents(row)
     hit, at = places(mine, h)
     return by_document(key[hit], h=mine[hit], pivot=lo[at[hit]], df=n[at[hit]])
 
@@ -307,7 +307,7 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, region: int = REGION) -> Dat
     """
     buckets = bucket_count(text_bytes(docs) / _BYTES_PER_WORD * 0.3)
     shared = shared_hashes(docs.mapInArrow(_sent(buckets, True), FOLDED))
-    sent = docs.mapInArrow(_sent(buckets, False), "bucket int, h binary, key binary")
+    sent = docs.mapInArrow(_sent(buckets, False), PACKED)
     found = look_up(sent, shared, _found, "doc long, h binary, pivot binary, df binary")
     early = found.groupBy(F.col("doc").alias("k1")).agg(*[F.collect_list(c).alias(c) for c in ("h", "pivot", "df")])
     early = early.join(sets, "k1").select("doc_id", "n", "h", "pivot", "df")

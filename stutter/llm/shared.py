@@ -62,20 +62,37 @@ def blob(array: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(array)])
 
 
-def packed_schema(columns: dict[str, type]) -> str:
-    return "bucket int, " + ", ".join(f"{c} binary" for c in columns)
+def pack(buckets: int, h: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket with the hashes that fall in it, in order, and their columns.
 
-
-def pack(buckets: int, h: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket with the hashes that fall in it, in order, and their columns."""
+    Documents are sent as distances from the smallest of the slice, in as few bytes as hold them.
+    """
     order = np.argsort(h, kind="stable")
     h = h[order]
     at = ((h >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
     bounds = np.r_[first, len(at)]
-    arrays = [pa.array(at[first], pa.int32()), blob(h, bounds)]
+    base = int(doc.min()) if len(doc) else 0
+    above = doc.astype(np.int64).view(np.uint64) - np.uint64(base & (1 << 64) - 1)
+    width = np.min_scalar_type(int(above.max()) if len(doc) else 0).itemsize
+    arrays = [
+        pa.array(at[first], pa.int32()), blob(h, bounds), pa.array(np.full(len(first), base), pa.int64()),
+        pa.array(np.full(len(first), width), pa.int32()), blob(above[order].astype(f"u{width}"), bounds),
+    ]
     arrays += [blob(c[order], bounds) for c in columns.values()]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "h", *columns])
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "h", "base", "width", "doc", *columns])
+
+
+PACKED = "bucket int, h binary, base long, width int, doc binary"
+
+
+def documents(rows) -> np.ndarray:
+    """The documents of packed rows."""
+    out = [
+        (np.frombuffer(d, f"u{w}").astype(np.uint64) + np.uint64(b & (1 << 64) - 1)).view(np.int64)
+        for d, b, w in zip(*(rows[c].to_pylist() for c in ("doc", "base", "width")), strict=True)
+    ]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def fold(h: np.ndarray, doc: np.ndarray, other: np.ndarray | None = None):
@@ -100,33 +117,33 @@ def distinct_rows(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[keep] for c in columns]
 
 
-FOLDED = "bucket int, h binary, other binary, lo binary, hi binary, n binary"
+FOLDED = PACKED + ", mixed binary, n binary, other binary"
 _SHARED = "bucket int, load long, h binary, other binary, lo binary, n binary"
 
 
 def folded(buckets: int, h, doc, other=None) -> pa.RecordBatch:
-    """What a slice sends for :func:`shared_hashes`."""
+    """What a slice sends for :func:`shared_hashes`: each hash once, with its smallest document."""
     h, other, lo, hi, n = fold(h, doc, other)
+    columns = {"mixed": (lo < hi).astype(np.uint8), "n": n.astype(np.uint32)}
     if other is not None:
-        return pack(buckets, h, other=other, lo=lo, hi=hi, n=n)
-    batch = pack(buckets, h, lo=lo, hi=hi, n=n)
-    return batch.add_column(2, "other", pa.array([b""] * len(batch), pa.binary()))
+        return pack(buckets, h, lo, **columns, other=other)
+    batch = pack(buckets, h, lo, **columns)
+    return batch.append_column("other", pa.array([b""] * len(batch), pa.binary()))
 
 
 def _shared_of_bucket(table: pa.Table) -> pa.Table:
     h, other = values(table["h"], np.uint64), values(table["other"], np.uint64)
-    lo, hi = values(table["lo"], np.int64), values(table["hi"], np.int64)
-    n = values(table["n"], np.int64)
+    lo, mixed, n = documents(table), values(table["mixed"], np.uint8), values(table["n"], np.uint32)
     order = np.lexsort((other, h) if len(other) else (h,))
-    h, lo, hi, n = h[order], lo[order], hi[order], n[order]
+    h, lo, mixed, n = h[order], lo[order], mixed[order], n[order].astype(np.int64)
     new = np.r_[True, h[1:] != h[:-1]]
     if len(other):
         other = other[order]
         new[1:] |= other[1:] != other[:-1]
     first = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+    low, high = np.minimum.reduceat(lo, first), np.maximum.reduceat(lo, first)
     count = np.add.reduceat(n, first)
-    keep = low < high
+    keep = (low < high) | (np.maximum.reduceat(mixed, first) > 0)
     at = first[keep]
     one = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
     return pa.table({
@@ -155,14 +172,14 @@ def look_up(
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("load") / most)).cast("int")
     loads = shared.select("bucket", parts.alias("parts"))
-    columns = [c for c in sent.columns if c != "bucket"]
+    columns = {f.name: f.dataType for f in sent.schema if f.name != "bucket"}
     left = sent.join(F.broadcast(loads), "bucket").select(  # at most _MOST_BUCKETS rows of 16 bytes
         "bucket", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"),
         *columns, *[F.lit(None).cast("binary").alias(f"s_{c}") for c in ("h", "other", "lo", "n")],
     )
     right = shared.where(F.length("h") > 0).select(
         "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"),
-        *[F.lit(None).cast("binary").alias(c) for c in columns],
+        *[F.lit(None).cast(t).alias(c) for c, t in columns.items()],
         *[F.col(c).alias(f"s_{c}") for c in ("h", "other", "lo", "n")],
     )
     both = left.unionByName(right).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
@@ -220,13 +237,25 @@ def by_document(doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["doc", *columns])
 
 
-def with_few(many: DataFrame, few: DataFrame, key: str, how: str = "inner", size=None) -> DataFrame:
-    """Join with a written side: broadcast up to FEW_BYTES as counted, else both are shuffled.
+def with_few(many: DataFrame, few: DataFrame, key: str | list[str], how: str = "inner", size=None) -> DataFrame:
+    """Join with a written side that has each key once or a few times.
 
-    ``size``: column of the bytes of a row of ``few``, 16 if not given.
+    Up to FEW_BYTES, as counted, it is broadcast. Beyond that its keys are, if
+    they fit, so that only matching rows are shuffled; else both sides are.
+    ``size``: column of the bytes of a row of ``few`` beside its keys.
     """
-    n = few.agg(F.sum(F.lit(16) if size is None else size + F.lit(16))).first()[0] or 0
-    return many.join(F.broadcast(few) if n <= FEW_BYTES else few.hint("merge"), key, how)
+    keys = [key] if isinstance(key, str) else key
+    rows, more = few.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    if 24 * rows + (more or 0) <= FEW_BYTES:
+        return many.join(F.broadcast(few), keys, how)
+    if how in ("inner", "left") and 24 * rows <= FEW_BYTES:
+        only = F.broadcast(few.select(*keys).distinct())
+        met = many.join(only, keys, "left_semi").join(few.hint("merge"), keys)
+        if how == "inner":
+            return met
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema if f.name not in keys]
+        return met.unionByName(many.join(only, keys, "left_anti").select(*many.columns, *rest))
+    return many.join(few.hint("merge"), keys, how)
 
 
 def connected(spark: SparkSession, links: DataFrame) -> DataFrame:

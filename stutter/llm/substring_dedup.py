@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import (
-    FOLDED, bucket_count, by_document, distinct_rows, folded, look_up, pack, pair_places, places, shared_hashes, text_bytes,
+    FOLDED, PACKED, bucket_count, by_document, distinct_rows, documents, folded, look_up, pack, pair_places, places, shared_hashes, text_bytes,
     values, with_few, written,
 )
 from .text import Windows, Words, slices
@@ -56,13 +56,13 @@ def _sent_anchors(buckets: int, fold_rows: bool):
                         yield folded(buckets, h, doc[row])
                     else:
                         h, d = distinct_rows(h, doc[row])
-                        yield pack(buckets, h, doc=d)
+                        yield pack(buckets, h, d)
 
     return run
 
 
 def _shared_anchors(row, h, other, lo, n):
-    mine, doc = values(row["h"], np.uint64), values(row["doc"], np.int64)
+    mine, doc = values(row["h"], np.uint64), documents(row)
     is_shared, _ = places(mine, h)
     return by_document(doc[is_shared], h=mine[is_shared])
 
@@ -110,14 +110,14 @@ def _sent_windows(buckets: int, fold_rows: bool):
                         yield folded(buckets, h, doc[row], second)
                     else:
                         h, second, d = distinct_rows(h, second, doc[row])
-                        yield pack(buckets, h, second=second, doc=d)
+                        yield pack(buckets, h, d, second=second)
 
     return run
 
 
 def _earlier_windows(row, h, other, lo, n):
     mine, second = values(row["h"], np.uint64), values(row["second"], np.uint64)
-    doc = values(row["doc"], np.int64)
+    doc = documents(row)
     is_shared, at = pair_places(mine, second, h, other)
     gone = is_shared & (lo[at] < doc)
     return by_document(doc[gone], h=mine[gone] ^ (second[gone] << np.uint64(1)))
@@ -128,10 +128,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(len(batch)):
             text = batch["text"][i].as_py() or ""
-            gone = batch["gone"][i].as_py()
+            gone, is_copy = batch["gone"][i].as_py(), batch["is_copy"][i].as_py()
             parts = text.encode().split()  # bytes split at exactly these six bytes
             kept, spans = parts, []
-            if gone:
+            if is_copy and len(parts) >= WINDOW:  # an earlier document has every window
+                kept, spans = [], [{"start": 0, "end": len(parts)}]
+            elif gone:
                 words = Words(pa.array([text]))
                 hashes = words.hashes()
                 start = np.arange(max(0, len(words) - WINDOW + 1))
@@ -162,6 +164,7 @@ CUT = (
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every word that a window of 50 words covers which also starts in a smaller document.
 
+    Equal texts are folded first: all but the earliest lose all their windows.
     Returns a row per input row: ``doc_id, n_words, n_removed, kept_sha256,
     removed`` (spans of word places) and ``kept_text`` (kept words joined by one
     space). Windows are judged on the input. Null text has no words; texts of
@@ -172,20 +175,26 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = known.select("doc_id", F.md5("text").alias("digest"))
+    first = written(texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = written(with_few(texts, first, "digest", size=F.lit(40)).where("doc_id > first").select("doc_id", "digest").distinct())
+    known = with_few(known.withColumn("digest", F.md5("text")), copies, ["doc_id", "digest"], "left_anti", F.lit(40)).drop("digest")
     buckets = bucket_count(text_bytes(known) / _BYTES_PER_WORD * len(COVER) / PERIOD)
     shared = shared_hashes(known.mapInArrow(_sent_anchors(buckets, True), FOLDED))
-    sent = known.mapInArrow(_sent_anchors(buckets, False), "bucket int, h binary, doc binary")
-    anchors = written(
-        look_up(sent, shared, _shared_anchors, "doc long, h binary")
-        .groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("anchors"))
-    )
-    size = F.aggregate(F.transform("anchors", lambda x: F.octet_length(x) + 8), F.lit(0), lambda a, b: a + b)
-    near = with_few(known, anchors, "doc_id", size=size)
+    sent = known.mapInArrow(_sent_anchors(buckets, False), PACKED)
+    anchors = written(_per_document(look_up(sent, shared, _shared_anchors, "doc long, h binary"), "anchors"))
+    near = written(with_few(known, anchors, "doc_id", size=_blob_bytes("anchors")))
     windows = shared_hashes(near.mapInArrow(_sent_windows(buckets, True), FOLDED))
-    sent = near.mapInArrow(_sent_windows(buckets, False), "bucket int, h binary, second binary, doc binary")
-    gone = written(
-        look_up(sent, windows, _earlier_windows, "doc long, h binary")
-        .groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("gone"))
-    )
-    size = F.aggregate(F.transform("gone", lambda x: F.octet_length(x) + 8), F.lit(0), lambda a, b: a + b)
-    return with_few(docs, gone, "doc_id", "left", size=size).select("doc_id", "text", "gone").mapInArrow(_cut, CUT)
+    sent = near.mapInArrow(_sent_windows(buckets, False), PACKED + ", second binary")
+    gone = written(_per_document(look_up(sent, windows, _earlier_windows, "doc long, h binary"), "gone"))
+    cut = with_few(docs, gone, "doc_id", "left", size=_blob_bytes("gone")).withColumn("digest", F.md5("text"))
+    cut = with_few(cut, copies.withColumn("is_copy", F.lit(True)), ["doc_id", "digest"], "left", F.lit(40))
+    return cut.select("doc_id", "text", "gone", "is_copy").mapInArrow(_cut, CUT)
+
+
+def _per_document(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias(name))
+
+
+def _blob_bytes(name: str):
+    return F.aggregate(F.transform(name, lambda x: F.octet_length(x) + 16), F.lit(0), lambda a, b: a + b)
