@@ -87,10 +87,14 @@ def number_records(lines: DataFrame, order: list[str], header: str = "prefix") -
 
 
 def name_lookup(sequences: DataFrame, names: DataFrame) -> DataFrame:
-    """Give sequence i the name i; ``names`` has columns ordinal, name."""
-    return sequences.drop("seq_name").join(
-        names.select(F.col("ordinal").alias("seq_id"), F.col("name").alias("seq_name")), "seq_id"
-    ).select("seq_id", "seq_name", "seq")
+    """Give sequence i the name i; ``names`` has columns ordinal, name.
+
+    A sequence without a name keeps its own; an ordinal with two names stops the job.
+    """
+    once = names.groupBy(F.col("ordinal").alias("seq_id")).agg(F.first("name").alias("_name"), F.count("*").alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("several names for sequence "), F.col("seq_id").cast("string")))
+    name = F.when(F.col("_n") > 1, twice.cast("string")).otherwise(F.coalesce("_name", "seq_name"))
+    return sequences.join(once, "seq_id", "left").select("seq_id", name.alias("seq_name"), "seq")
 
 
 def stitch_pieces(
@@ -147,18 +151,40 @@ def stitch_pieces(
     )
 
 
+_MOST_SYMBOLS = 4096
+
+
+def symbols_of(rows: DataFrame, column: str) -> dict[str, str]:
+    """A character for each value of a column, in order of the values."""
+    values = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(_MOST_SYMBOLS + 1).collect()]
+    if len(values) > _MOST_SYMBOLS:
+        raise ValueError(f"{column} has more than {_MOST_SYMBOLS} values")
+    return {v: chr(ord("A") + i) for i, v in enumerate(sorted(values))}
+
+
 def symbol_pieces(
-    rows: DataFrame, key: str, order: list[str], symbol: Column, size: int = 4096
+    rows: DataFrame, key: str, order: list[str], symbol: Column, size: int = 4096,
+    symbols: dict[str, str] | None = None, skip_null: bool = False,
 ) -> DataFrame:
     """Rows as one string per key, one symbol each, in a total ``order``; as pieces.
 
-    The first character of ``symbol`` counts; rows without one are left out. A key with a third of all rows is sorted and numbered over many tasks, and
-    never put together beyond ``size`` symbols.
+    ``symbols`` gives the character of each value (see :func:`symbols_of`);
+    without it values are the characters. A value that is null, has no character
+    or is not a single one stops the job, since leaving it out would move all
+    positions behind it; ``skip_null`` leaves out rows whose value is null. A key
+    with a third of all rows is sorted and numbered over many tasks, and never
+    put together beyond ``size`` symbols.
     """
-    first = F.substring(symbol, 1, 1)
-    narrow = rows.select(F.col(key).cast("long").alias("seq_id"), *order, first.alias("_symbol")).where(
-        F.col("_symbol") != ""
-    )
+    if symbols is None:
+        char = symbol
+    else:
+        known = F.create_map(*[F.lit(x) for pair in symbols.items() for x in pair]) if symbols else F.lit(None)
+        char = F.element_at(known, symbol) if symbols else F.lit(None).cast("string")
+    wrong = F.raise_error(F.concat(F.lit("not one symbol: "), F.coalesce(symbol.cast("string"), F.lit("null"))))
+    single = F.when(F.length(char) == 1, char).otherwise(wrong.cast("string"))
+    if skip_null:
+        rows = rows.where(symbol.isNotNull())
+    narrow = rows.select(F.col(key).cast("long").alias("seq_id"), *order, single.alias("_symbol"))
     numbered = number_rows(narrow, ["seq_id"], order, "_pos")
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_symbol"))), lambda x: x["_symbol"]), ""

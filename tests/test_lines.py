@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stutter import find_repeats, mine_file
 from stutter.functions import udtf
-from stutter.operators import relations
+from stutter.operators import exact, relations
 from stutter.sources import lines, sinks
 from stutter.sources.chunks import chunk_sequences
 
@@ -58,21 +58,43 @@ def test_stitch(spark, block):
 
 
 def test_symbols(spark):
-    rows = [(i % 3 if i % 2 else 0, i, ("abc"[i % 3], "bcd", None, "")[i % 4 if i % 7 == 0 else 0]) for i in range(500)]
+    rows = [(i % 3 if i % 2 else 0, i, ("click", "cancel", "call")[i * i % 3]) for i in range(500)]
     df = spark.createDataFrame(rows, "u long, t long, s string").repartition(5)
-    got = lines.symbol_pieces(df, "u", ["t"], F.col("s"), size=16)
+    symbols = lines.symbols_of(df, "s")
+    assert sorted(symbols) == list(symbols) and len(set(symbols.values())) == len(symbols)
+    got = lines.symbol_pieces(df, "u", ["t"], F.col("s"), size=16, symbols=symbols)
     assert all(len(r.piece) <= 16 for r in got.collect())
     whole = {r.seq_id: r.chunk for r in chunk_sequences(got, 1000).collect()}
     want = {}
     for u, _, s in rows:
-        want[u] = want.get(u, "") + (s or "")[:1]
+        want[u] = want.get(u, "") + symbols[s]
     assert whole == want
 
 
+@pytest.mark.parametrize("bad,symbols", [(None, {"x": "X"}), ("new", {"x": "X"}), ("", None), (None, None), ("xy", None)])
+def test_values_without_a_symbol_stop_the_job(spark, bad, symbols):
+    df = spark.createDataFrame([(0, 0, "x"), (0, 1, bad), (0, 2, "x")], "u long, t long, s string")
+    with pytest.raises(Exception, match="not one symbol"):
+        lines.symbol_pieces(df, "u", ["t"], F.col("s"), symbols=symbols).collect()
+    if bad is None:
+        got = lines.symbol_pieces(df, "u", ["t"], F.col("s"), symbols=symbols, skip_null=True)
+        assert got.first().piece == ("XX" if symbols else "xx")
+
+
 def test_names(spark):
-    seqs = spark.createDataFrame([(0, "seq0", "aa"), (1, "seq1", "bb")], "seq_id long, seq_name string, seq string")
-    names = spark.createDataFrame([(0, ">x"), (1, ">y")], "ordinal long, name string")
-    assert sorted(tuple(r) for r in lines.name_lookup(seqs, names).collect()) == [(0, ">x", "aa"), (1, ">y", "bb")]
+    seqs = spark.createDataFrame([(0, "seq0", "aa"), (1, "seq1", "bb"), (2, "seq2", "")], "seq_id long, seq_name string, seq string")
+    names = spark.createDataFrame([(0, ">x"), (1, ">y"), (9, ">z")], "ordinal long, name string")
+    assert sorted(tuple(r) for r in lines.name_lookup(seqs, names).collect()) == [
+        (0, ">x", "aa"), (1, ">y", "bb"), (2, "seq2", ""),
+    ]
+    with pytest.raises(Exception, match="several names"):
+        lines.name_lookup(seqs, names.union(names)).collect()
+
+
+def test_text_of_a_repeat_is_one_line(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a\\b", 2, "x\n", 3, 0, 5)], exact.REPEAT_SCHEMA)
+    sinks.write_text(df, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["(0,a\\\\b,x\\n,3,0,5)"]
 
 
 def test_mine_file(spark, tmp_path):
