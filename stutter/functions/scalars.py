@@ -54,17 +54,3 @@ def rotate(word, shift) -> Column:
     return F.concat(
         F.substring(w, t + F.lit(1), F.length(w)), F.substring(w, F.lit(1), t)
     )
-
-
-def common_prefix_length(a, b, limit: int) -> Column:
-    """Length of the common prefix of two strings, at most ``limit``."""
-    a, b = _col(a), _col(b)
-    if limit < 1:
-        return F.lit(0)
-    differs = F.filter(
-        F.sequence(F.lit(1), F.lit(limit)),
-        lambda i: (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-        | (i > F.length(a))
-        | (i > F.length(b)),
-    )
-    return F.coalesce(F.array_min(differs), F.lit(limit + 1)) - 1

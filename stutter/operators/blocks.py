@@ -7,7 +7,9 @@ borders, two per block, are then looked at per key.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
@@ -24,14 +26,31 @@ def div(a, b) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The checkpoint folder the cluster names; a temporary one only in local mode without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stutter-")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="stutter-")
+            _delete_on_exit(spark, folder)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def _delete_on_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
@@ -45,19 +64,22 @@ def durable_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
     return kept, seen.get["n"]
 
 
-_FEW = 200_000  # rows of at most a few hundred bytes
+_FEW_BYTES = 32 << 20
 
 
 def join_few(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join with a side that is probably small, such as repeats.
 
-    ``few`` is written once and counted: up to a fixed number of rows it is
+    ``few`` is written once and weighed: up to a fixed number of bytes it is
     broadcast and ``many`` stays where it is, beyond that both are shuffled and
     sorted. Spark must not decide by its own guess, since both sides are often
     exploded, which it does not foresee.
     """
-    few, n = durable_counted(few, F.lit(True))
-    few = F.broadcast(few) if n <= _FEW else few.hint("merge")
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in few.schema if f.dataType.typeName() == "string"]
+    row = sum(texts, F.lit(16 * (len(few.columns) + 1))).cast("long")
+    seen = Observation()
+    few = durable(few.observe(seen, F.sum(row).alias("bytes")))
+    few = F.broadcast(few) if (seen.get["bytes"] or 0) <= _FEW_BYTES else few.hint("merge")
     return many.join(few, keys)
 
 

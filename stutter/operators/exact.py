@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -136,13 +135,12 @@ def exact_regions(
     """Maximal periodic regions ``(seq_id, seq_name, k, motif, start_pos, length)``.
 
     The answer does not depend on ``size``: runs cut by a chunk border are linked
-    before their length is judged.
+    before their length is judged. Chunks are at least as long as the longest motif.
     """
     rule = Rule(tuple(k_list), min_repeat)
     ks = tuple(dict.fromkeys(rule.k_list))
-    chunks = chunk_sequences(df, size, halo=min(max(ks), size), spread=spread)
-    if max(ks) > size:
-        raise ValueError("the chunk size must not be smaller than the longest motif")
+    size = max(size, *ks)
+    chunks = chunk_sequences(df, size, halo=max(ks), spread=spread)
 
     def find(batches):
         return _find_runs(batches, ks, min_repeat, primitive_only, size)
@@ -266,22 +264,16 @@ def cut_spanning_repeats(
     low = F.greatest(F.col("start_pos"), F.col("cut") - k + 1)
     high = F.least(F.col("cut"), F.col("start_pos") + F.col("length") - k)
     near = join_few(asked, regions_by_block(regions, block), ["seq_id", "_block"]).where(low <= high)
-    windows = near.withColumn("pos", F.explode(F.sequence(low, high)))
-    region = [F.col(c) for c in ("seq_id", "cut", "k", "start_pos")]
+    # a window has length div k units, or one less where its phase is beyond length mod k
+    phase, spare = (low - F.col("start_pos")) % k, F.col("length") % k
+    enough = (div("length", k) > min_repeat) | (phase <= spare)
+    leftmost = near.withColumn("pos", F.when(enough, low).otherwise(low + k - phase)).where(
+        (div("length", k) >= min_repeat) & (F.col("pos") <= high)
+    )
     before = div(F.col("pos") - F.col("start_pos"), k)
     after = div(F.col("start_pos") + F.col("length") - F.col("pos"), k)
-    leftmost = (
-        windows.where(before + after >= min_repeat)
-        .withColumn("_n", F.row_number().over(W.partitionBy(*region).orderBy("pos")))
-        .where("_n = 1")
-    )
-    return (
-        leftmost.withColumn("_start", F.col("pos") - before * k)
-        .withColumn("_end", F.col("pos") + after * k - 1)
-        .select(
-            "seq_id", "seq_name", "k", "cut",
-            rotate("motif", (F.col("pos") - F.col("start_pos")) % k).alias("motif"),
-            (before + after).alias("cnt"),
-            F.col("_start").alias("start_pos"), F.col("_end").alias("end_pos"),
-        )
+    return leftmost.select(
+        "seq_id", "seq_name", "k", "cut",
+        rotate("motif", (F.col("pos") - F.col("start_pos")) % k).alias("motif"), (before + after).alias("cnt"),
+        (F.col("pos") - before * k).alias("start_pos"), (F.col("pos") + after * k - 1).alias("end_pos"),
     )

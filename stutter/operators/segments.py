@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import Rule
 from ..sources.chunks import chunk_sequences
-from .exact import REPEAT_SCHEMA, cut_spanning_repeats
+from .blocks import durable
+from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA
 from .intervals import overlap_join, partial_units
 from .resolve import ranked_reader
-from .tolerant import ordered_reader
+from .tolerant import cut_spanning_runs, ordered_reader
 
 
 def segments(df: DataFrame, size: int) -> DataFrame:
@@ -27,8 +28,7 @@ def border_repeats(df: DataFrame, size: int, rule: Rule, **options) -> DataFrame
     A repeat found at several borders is listed once.
     """
     cuts = chunk_sequences(df, size).where("chunk_id > 0").select("seq_id", F.col("chunk_start").alias("cut"))
-    found = cut_spanning_repeats(df, cuts, rule.k_list, rule.min_repeat, rule.primitive_only, **options)
-    return found.drop("cut").distinct()
+    return cut_spanning_runs(df, cuts, rule, **options).drop("cut").distinct()
 
 
 def segment_overlap_join(segs: DataFrame, repeats: DataFrame, size: int, how: str = "left") -> DataFrame:
@@ -67,3 +67,9 @@ def masked_segment_scan(
     reader = ranked_reader(rule) if settled else ordered_reader(rule)
     joined = segs.join(masks, ["seq_id", "chunk_id"], "left").withColumn("mask", F.transform("_over", cell))
     return joined.select("seq_id", "seq_name", "chunk_start", "chunk", "mask").mapInArrow(reader, REPEAT_SCHEMA)
+
+
+def split_repeats(df: DataFrame, size: int, rule: Rule, extend: bool = True) -> DataFrame:
+    """The split job: repeats over segment borders, and those inside segments that they do not cover."""
+    border = durable(border_repeats(df, size, rule).select(*REPEAT_COLUMNS))
+    return border.unionByName(masked_segment_scan(df, size, rule, border, extend))

@@ -14,6 +14,7 @@ until all borders agree.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -25,8 +26,8 @@ from ..functions import scan
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, assemble, chunk_sequences
 from .blocks import div, durable, previous
-from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA, RowSpans, slices
-from .intervals import merge_intervals
+from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA, RowSpans, cut_spanning_repeats, slices
+from .intervals import merge_intervals, uncovered_intervals
 from .resolve import cells_taken, read_whole, repeats_batch, spread_of
 
 _READ_SCHEMA = (
@@ -254,3 +255,45 @@ def tolerant_at_position(
         found = durable(_runs_around(texts, rule, context))
         done.append(found.where("not open"))
     return reduce(DataFrame.unionByName, done).drop("open")
+
+
+_SEEN = "struct<pos:bigint,seq_name:string,motif:string,cnt:bigint,start_pos:bigint,end_pos:bigint>"
+
+
+def cut_spanning_runs(df: DataFrame, cuts: DataFrame, rule: Rule, **options) -> DataFrame:
+    """Repeats that cover cut positions, with mismatches and gaps; columns of ``cut_spanning_repeats``.
+
+    The runs through the windows of length k that hold a cut are taken from left
+    to right, and one that begins within the one before, its last unit left out,
+    is a rotation of it.
+    """
+    if rule.exact:
+        return cut_spanning_repeats(df, cuts, rule.k_list, rule.min_repeat, rule.primitive_only)
+    asked = cuts.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("cut").cast("long").alias("cut")).distinct()
+    windows = asked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in rule.k_list]))).withColumn(
+        "pos", F.explode(F.sequence(F.greatest(F.col("cut") - F.col("k") + 1, F.lit(0)), F.col("cut")))
+    )
+    windows = durable(windows)
+    runs = tolerant_at_position(df, windows.select("seq_id", "pos", "k").distinct(), rule, **options)
+    near = windows.join(runs, ["seq_id", "pos", "k"])
+    seen = F.struct("pos", "seq_name", "motif", "cnt", "start_pos", "end_pos")
+    each = near.groupBy("seq_id", "cut", "k").agg(F.sort_array(F.collect_list(seen)).alias("runs"))  # at most k
+    kept = F.aggregate(
+        "runs",
+        F.struct(F.lit(-1).cast("long").alias("right"), F.array().cast(f"array<{_SEEN}>").alias("kept")),
+        lambda have, run: F.when(
+            run["start_pos"] > have["right"],
+            F.struct(
+                (run["end_pos"] - F.col("k") + 1).alias("right"), F.concat(have["kept"], F.array(run)).alias("kept")
+            ),
+        ).otherwise(have),
+        lambda have: have["kept"],
+    )
+    return each.select("seq_id", "cut", "k", F.explode(kept).alias("run")).select(
+        "seq_id", "run.seq_name", "k", "cut", "run.motif", "run.cnt", "run.start_pos", "run.end_pos"
+    )
+
+
+def uncovered_runs(df: DataFrame, mask: DataFrame, rule: Rule, size: int = CHUNK_SIZE) -> DataFrame:
+    """Repeats under any rule, each length on its own, with at least one position outside ``mask``."""
+    return uncovered_intervals(tolerant_repeats(df, replace(rule, policy="separate"), size), mask)
