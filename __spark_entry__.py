@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,7 +17,7 @@ from stutter.functions import udtf  # noqa: E402
 from stutter.functions.scalars import match_count, midpoint, primitive_motif, units_match  # noqa: E402
 from stutter.functions.scan import Rule  # noqa: E402
 from stutter.operators import exact, intervals, relations, segments, tolerant  # noqa: E402
-from stutter.operators.blocks import number_rows, shared_folder  # noqa: E402
+from stutter.operators.blocks import number_rows, scratch  # noqa: E402
 from stutter.sources import lines, sinks  # noqa: E402
 from stutter.sources.chunks import as_sequences, chunk_sequences  # noqa: E402
 from stutter.sources.tables import read_table  # noqa: E402
@@ -42,7 +41,8 @@ def docs(spark, sf_dir) -> DataFrame:
 
 def events(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    return lines.symbol_pieces(rows, "user_id", ["ts", "event_id"], F.substring("event_type", 1, 1))
+    symbols = lines.symbols_of(rows, "event_type")
+    return lines.symbol_pieces(rows, "user_id", ["ts", "event_id"], F.col("event_type"), symbols=symbols)
 
 
 def html_lines(spark, sf_dir) -> DataFrame:
@@ -60,7 +60,7 @@ def fasta_lines(spark, sf_dir) -> DataFrame:
 
 def fasta_files(spark, sf_dir) -> str:
     """The documents as text files in the shared folder, in line order."""
-    folder = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    folder = scratch(spark, "fasta")
     ordered = fasta_lines(spark, sf_dir).repartitionByRange("doc_id", "i").sortWithinPartitions("doc_id", "i")
     ordered.select("value").write.text(folder)
     return folder
@@ -100,6 +100,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 _R = f"SELECT {o.REPEAT} FROM repeats"
+_ONE_LINE = r"replace(replace(replace(motif, '\', '\\'), chr(10), '\n'), chr(13), '\r')"
 _LINES = "SELECT (row_number() OVER (ORDER BY doc_id, i) - 1)::BIGINT AS line_no, value FROM fasta"
 _BODY = (
     "SELECT n AS seq_id, 'seq' || n AS seq_name, value AS seq FROM ("
@@ -180,7 +181,7 @@ def stitch_everything(spark, sf_dir):
 
 
 @query(
-    f"WITH {o.repeats(K)} SELECT '(' || seq_id || ',' || seq_name || ',' || motif || ',' || cnt || ',' || "
+    f"WITH {o.repeats(K)} SELECT '(' || seq_id || ',' || seq_name || ',' || {_ONE_LINE} || ',' || cnt || ',' || "
     "start_pos || ',' || end_pos || ')' AS value FROM repeats"
 )
 def format_repeats(spark, sf_dir):
@@ -188,12 +189,12 @@ def format_repeats(spark, sf_dir):
 
 
 @query(
-    f"WITH {o.repeats([6])} SELECT '(' || seq_id || ',' || seq_name || ',' || motif || ',' || cnt || ',' || "
+    f"WITH {o.repeats([6])} SELECT '(' || seq_id || ',' || seq_name || ',' || {_ONE_LINE} || ',' || cnt || ',' || "
     "start_pos || ',' || end_pos || ')' AS value FROM repeats"
 )
 def mined_text(spark, sf_dir):
     """The default job (motif length 6), written as text and read back."""
-    folder = f"{shared_folder(spark)}/mined-{uuid.uuid4().hex}"
+    folder = scratch(spark, "mined")
     sinks.write_text(find_repeats(docs(spark, sf_dir)), folder)
     return spark.read.option("lineSep", "\n").text(folder)
 
@@ -472,11 +473,7 @@ def segment_overlap_join(spark, sf_dir):
     return segments.segment_overlap_join(segs, r, SEGMENT)
 
 
-def _extensions(cuts: str, segs: str) -> str:
-    return f"""{cuts}, {_SPANNING}, {segs},
-border AS (SELECT DISTINCT seq_id, motif, start_pos, end_pos FROM spanning),
-pairs AS (SELECT s.*, r.motif, r.start_pos, r.end_pos, length(r.motif) AS k FROM segs s JOIN border r ON {_PAIR}),
-extensions AS (SELECT seq_id, chunk_id::BIGINT AS chunk_id, seg_start, seg_end, motif, start_pos, end_pos,
+_EXTENSIONS = """extensions AS (SELECT seq_id, chunk_id::BIGINT AS chunk_id, seg_start, seg_end, motif, start_pos, end_pos,
   CASE WHEN start_pos <= seg_start AND end_pos >= seg_start THEN
     coalesce(list_max([j FOR j IN range(0, k) IF end_pos - seg_start + j < length(chunk) AND
       substr(chunk, end_pos - seg_start + 2, j) = substr(motif, 1, j)]), 0) ELSE 0 END::BIGINT AS ext_after,
@@ -486,6 +483,13 @@ extensions AS (SELECT seq_id, chunk_id::BIGINT AS chunk_id, seg_start, seg_end,
 FROM pairs)"""
 
 
+def _extensions(cuts: str, segs: str) -> str:
+    return f"""{cuts}, {_SPANNING}, {segs},
+border AS (SELECT DISTINCT seq_id, motif, start_pos, end_pos FROM spanning),
+pairs AS (SELECT s.*, r.motif, r.start_pos, r.end_pos, length(r.motif) AS k FROM segs s JOIN border r ON {_PAIR}),
+{_EXTENSIONS}"""
+
+
 @query(
     f"WITH {o.regions(K)}, {_extensions(_CUTS, _SEGS)} "
     "SELECT seq_id, chunk_id, motif, start_pos, end_pos, ext_after, ext_before FROM extensions"
@@ -541,6 +545,82 @@ def masked_document_scan(spark, sf_dir):
     return segments.masked_segment_scan(docs(spark, sf_dir), SEGMENT, Rule(tuple(RANKED)))
 
 
+_TWO = Rule((2, 3), 3, 1, 1)
+
+
+def _event_cuts(size: int) -> str:
+    return f"{o.EVENTS}, cuts AS (SELECT seq_id, unnest(range({size}, length(seq), {size}))::BIGINT AS cut FROM seqs)"
+
+
+# windows over a cut from left to right; a run within the one before is a rotation of it
+_RUNS_OVER_CUTS = f"""runs AS ({o.around([2, 3], miss=1, max_gap=1)}), {_event_cuts(12)},
+over_cut AS (SELECT r.*, c.cut, row_number() OVER (PARTITION BY c.seq_id, c.cut, r.k ORDER BY r.pos) AS j
+             FROM cuts c JOIN runs r ON r.seq_id = c.seq_id AND r.pos <= c.cut AND r.pos + r.k > c.cut),
+left_to_right AS (
+  SELECT *, TRUE AS keep, end_pos - k + 1 AS rightmost FROM over_cut WHERE j = 1
+  UNION ALL
+  SELECT w.*, w.start_pos > f.rightmost,
+         CASE WHEN w.start_pos > f.rightmost THEN w.end_pos - w.k + 1 ELSE f.rightmost END
+  FROM left_to_right f JOIN over_cut w ON w.seq_id = f.seq_id AND w.cut = f.cut AND w.k = f.k AND w.j = f.j + 1),
+spanning AS (SELECT seq_id, seq_name, k, cut, motif, cnt, start_pos, end_pos FROM left_to_right WHERE keep)"""
+
+
+@query(f"WITH RECURSIVE {_RUNS_OVER_CUTS} SELECT * FROM spanning")
+def cut_spanning_tolerant(spark, sf_dir):
+    """Repeats over cuts with one mismatch per unit and gaps of one."""
+    e = events(spark, sf_dir)
+    cuts = chunk_sequences(e, 12).where("chunk_id > 0").select("seq_id", F.col("chunk_start").alias("cut"))
+    return tolerant.cut_spanning_runs(e, cuts, _TWO)
+
+
+_MASKED_TWO = f"""seqs AS (WITH RECURSIVE {_RUNS_OVER_CUTS}, {_cut(12)},
+border AS (SELECT DISTINCT seq_id, motif, start_pos, end_pos FROM spanning),
+pairs AS (SELECT s.*, r.motif, r.start_pos, r.end_pos, length(r.motif) AS k FROM segs s JOIN border r ON {_PAIR}),
+{_EXTENSIONS},
+hidden AS (SELECT seq_id, chunk_id, unnest(range(greatest(start_pos - ext_before - seg_start, 0),
+                  least(end_pos + ext_after, seg_end) - seg_start + 1))::BIGINT AS cell FROM extensions)
+SELECT s.seq_id * 1000000 + s.chunk_id AS seq_id, any_value(s.seq_name) AS seq_name, any_value(chunk) AS seq,
+       coalesce(list(DISTINCT cell) FILTER (cell IS NOT NULL), []::BIGINT[]) AS cells
+FROM segs s LEFT JOIN hidden h ON h.seq_id = s.seq_id AND h.chunk_id = s.chunk_id GROUP BY s.seq_id, s.chunk_id)"""
+_CELLS = (
+    "array_to_string([CASE WHEN list_contains(cells, c) THEN '1' ELSE '0' END FOR c IN range(0, length(seq))], '')"
+)
+_MASKED_TWO_SCAN = o.reading([2, 3], miss=1, max_gap=1, seqs=_MASKED_TWO, columns=_back(12), covered=_CELLS)
+
+
+@query(_MASKED_TWO_SCAN)
+def masked_tolerant_scan(spark, sf_dir):
+    """Segments scanned with one mismatch and gap, the repeats over their borders masked."""
+    return segments.masked_segment_scan(events(spark, sf_dir), 12, _TWO)
+
+
+@query(
+    f"SELECT {o.REPEAT} FROM ({_MASKED_TWO_SCAN}) UNION ALL "
+    f"SELECT DISTINCT {o.REPEAT} FROM (WITH RECURSIVE {_RUNS_OVER_CUTS} SELECT * FROM spanning)"
+)
+def split_repeats_tolerant(spark, sf_dir):
+    return segments.split_repeats(events(spark, sf_dir), 12, _TWO)
+
+
+@query(
+    f"SELECT {o.REPEAT} FROM ({ORACLES['masked_document_scan']}) UNION ALL "
+    f"SELECT DISTINCT {o.REPEAT} FROM (WITH {o.regions(sorted(RANKED))}, {_CUTS}, {_SPANNING} SELECT * FROM spanning)"
+)
+def split_repeats(spark, sf_dir):
+    """Documents in segments: border repeats, and what the segments hold beside them."""
+    return segments.split_repeats(docs(spark, sf_dir), SEGMENT, Rule(tuple(RANKED)))
+
+
+@query(f"""WITH found AS ({o.reading([2, 3], miss=1, max_gap=1, policy="separate")}),
+{o.repeats(K1, seqs=o.EVENTS)}, mask AS (SELECT * FROM repeats WHERE cnt >= 4), {o.merged('mask')}
+SELECT {o.REPEAT} FROM found r WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.seq_id = r.seq_id
+  AND m.start_pos <= r.start_pos AND m.end_pos >= r.end_pos)""")
+def uncovered_tolerant(spark, sf_dir):
+    e = events(spark, sf_dir)
+    mask = relations.min_repeat_filter(exact.exact_repeats(e, K1), 4)
+    return tolerant.uncovered_runs(e, mask, _TWO)
+
+
 _ORDER = "start_pos, end_pos DESC, k DESC, motif"
 
 

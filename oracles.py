@@ -13,7 +13,8 @@ DOCS = (
 )
 EVENTS = (
     "seqs AS (SELECT user_id::BIGINT AS seq_id, 'seq' || user_id AS seq_name, "
-    "string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id)"
+    "string_agg(chr(64 + symbol::INTEGER), '' ORDER BY ts, event_id) AS seq FROM ("
+    "SELECT *, dense_rank() OVER (ORDER BY event_type) AS symbol FROM events) GROUP BY user_id)"
 )
 # documents as FASTA lines: a header, then the lines of the text
 FASTA = (
