@@ -40,15 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _delete_on_exit(spark: SparkSession, folder: str) -> None:
+    """Make a folder that goes when the application ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/scratch"
     _delete_on_exit(spark, folder)
-    return folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

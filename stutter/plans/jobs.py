@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scan import Rule
 from ..operators.exact import exact_repeats, shifted_repeats
-from ..operators.relations import short_form
+from ..operators.intervals import drop_contained
+from ..operators.relations import short_form, sorted_repeats
 from ..operators.resolve import ranked_repeats
+from ..operators.segments import split_repeats
 from ..operators.tolerant import tolerant_repeats
 from ..sources.chunks import CHUNK_SIZE
 from ..sources.lines import read_lines, read_records, stitch_pieces
@@ -62,18 +64,34 @@ def single_k_repeats(df: DataFrame, k: int, every_start: bool = False, **options
 
 def mine_file(
     spark: SparkSession, source: str, target: str, k_list=(6,), stitch: bool = False,
-    header: str = "prefix", form: str = "text", single_file: bool = False, **options,
+    header: str = "prefix", form: str = "text", single_file: bool = False, split: int | None = None,
+    contained: str = "keep", order: bool = False, **options,
 ) -> None:
     """Read text or FASTA files, find repeats, write them.
 
     Without ``stitch`` each non-header line is one sequence; with it the lines
-    after a header are one sequence.
+    after a header are one sequence. ``split`` scans segments of that many
+    characters beside the repeats over their borders. ``contained="drop"`` leaves
+    out repeats that end within the one before. ``order`` writes in total order.
     """
     if stitch:
         sequences = stitch_pieces(read_lines(spark, source), header=header)
     else:
         sequences = read_records(spark, source, header)
-    found = find_repeats(sequences, k_list, **options)
+    if contained not in ("keep", "drop"):
+        raise ValueError(f"unknown choice {contained!r} for contained repeats")
+    if split is None:
+        found = find_repeats(sequences, k_list, **options)
+    else:
+        names = ("min_repeat", "miss", "max_gap", "max_gaps", "primitive_only", "policy", "every_start")
+        rule = Rule(tuple(k_list), **{n: options.pop(n) for n in names if n in options})
+        if options:
+            raise TypeError(f"not for split jobs: {', '.join(options)}")
+        found = split_repeats(sequences, split, rule)
+    if contained == "drop":
+        found = drop_contained(found)
+    if order:
+        found = sorted_repeats(found).drop("rank")
     if form == "parquet":
         write_parquet(found, target)
     else:

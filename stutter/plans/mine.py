@@ -17,6 +17,13 @@ def main(argv=None) -> None:
     p.add_argument("--min-repeat", type=int, default=3)
     p.add_argument("--miss", type=int, default=0)
     p.add_argument("--max-gap", type=int, default=0)
+    p.add_argument("--max-gaps", type=int, default=10_000_000)
+    p.add_argument("--every-start", action="store_true", help="go on one character after a report")
+    p.add_argument("--size", type=int, help="characters of a chunk")
+    p.add_argument("--spread", type=int, help="partitions for the chunks of long sequences")
+    p.add_argument("--split", type=int, help="scan segments of so many characters beside border repeats")
+    p.add_argument("--drop-contained", action="store_true")
+    p.add_argument("--sorted", action="store_true", help="write in total order")
     p.add_argument("--policy", default="ranked", choices=["ranked", "separate", "position"])
     p.add_argument("--any-motif", action="store_true", help="accept motifs that are repeats themselves")
     p.add_argument("--header", default="prefix", choices=["prefix", "contains"])
@@ -25,10 +32,12 @@ def main(argv=None) -> None:
     p.add_argument("--single-file", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("stutter").getOrCreate()
+    chosen = {n: v for n, v in (("size", a.size), ("spread", a.spread)) if v is not None}
     mine_file(
         spark, a.source, a.target, [int(k) for k in a.k.split(",")], a.stitch, a.header, a.form,
         a.single_file, min_repeat=a.min_repeat, miss=a.miss, max_gap=a.max_gap, policy=a.policy,
-        primitive_only=not a.any_motif,
+        primitive_only=not a.any_motif, max_gaps=a.max_gaps, every_start=a.every_start, split=a.split,
+        contained="drop" if a.drop_contained else "keep", order=a.sorted, **chosen,
     )
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from stutter import find_repeats, mine_file
 from stutter.functions import udtf
-from stutter.operators import exact, relations
+from stutter.operators import blocks, exact, relations
+from stutter.plans import mine
 from stutter.sources import lines, sinks
 from stutter.sources.chunks import chunk_sequences
 
@@ -111,6 +112,33 @@ def test_mine_file(spark, tmp_path):
     ]
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder = write(tmp_path / "in", {"a.txt": ["abcabdabcabdabcabc", "acacacac", "aaaaaa"]})
+    mine.main([folder, str(tmp_path / "out"), "--k", "3,2,1", "--miss", "1", "--max-gaps", "5", "--split", "8",
+               "--drop-contained", "--sorted", "--form", "parquet"])
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert (0, "abc", 0, 17) in [(r.seq_id, r.motif, r.start_pos, r.end_pos) for r in got.collect()]
+    mine.main([folder, str(tmp_path / "all"), "--k", "2", "--every-start", "--size", "4", "--policy", "separate"])
+    assert spark.read.text(str(tmp_path / "all")).count() == 1
+    with pytest.raises(TypeError, match="size"):
+        mine_file(spark, folder, str(tmp_path / "no"), (2,), split=8, size=4)
+
+
+def test_folders(spark, tmp_path):
+    first, second = blocks.scratch(spark, "x"), blocks.scratch(spark, "x")
+    assert first != second and first.startswith(blocks.shared_folder(spark))
+
+    class Cluster:
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        blocks.shared_folder(Cluster)
+
+
 def test_relations(spark):
     empty = spark.createDataFrame([], "seq_id long, seq_name string, seq string")
     assert find_repeats(empty, (2,)).count() == 0
