@@ -313,12 +313,6 @@ class _Reader:
         return None
 
 
-def extend_right(text: str, start: int, k: int, rule: Rule) -> tuple[int, int]:
-    """(units, last position) of the run that begins at ``start``."""
-    found, stop = _Reader(text, k, rule).right(text[start : start + k], start + k)
-    return found + 1, stop - 1
-
-
 def run_around(text: str, pos: int, k: int, rule: Rule):
     """(start, units, last position) of the run whose seed is at ``pos``.
 

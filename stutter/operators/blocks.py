@@ -70,20 +70,27 @@ def durable_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
 _FEW_BYTES = 32 << 20
 
 
-def join_few(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a side that is probably small, such as repeats.
+def weighed(df: DataFrame) -> tuple[DataFrame, bool]:
+    """:func:`durable`, and whether its rows are small enough in bytes to be sent to every task."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in kinds.items() if t == "string"]
+    arrays = [64 * F.size(c) for c, t in kinds.items() if t == "array"]
+    row = sum([*texts, *arrays], F.lit(16 * (len(kinds) + 1))).cast("long")
+    seen = Observation()
+    kept = durable(df.observe(seen, F.sum(row).alias("bytes")))
+    return kept, (seen.get["bytes"] or 0) <= _FEW_BYTES
+
+
+def join_few(many: DataFrame, few: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side that is probably small, such as repeats.
 
     ``few`` is written once and weighed: up to a fixed number of bytes it is
     broadcast and ``many`` stays where it is, beyond that both are shuffled and
     sorted. Spark must not decide by its own guess, since both sides are often
     exploded, which it does not foresee.
     """
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in few.schema if f.dataType.typeName() == "string"]
-    row = sum(texts, F.lit(16 * (len(few.columns) + 1))).cast("long")
-    seen = Observation()
-    few = durable(few.observe(seen, F.sum(row).alias("bytes")))
-    few = F.broadcast(few) if (seen.get["bytes"] or 0) <= _FEW_BYTES else few.hint("merge")
-    return many.join(few, keys)
+    few, small = weighed(few)
+    return many.join(F.broadcast(few) if small else few.hint("merge"), on, how)
 
 
 def previous(

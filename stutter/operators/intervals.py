@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, div, join_few, previous
+from .blocks import BLOCK, div, join_few, number_rows, previous, weighed
 
 _BORDER = -1
 
@@ -98,27 +98,49 @@ def covering(
     )
 
 
+_NEAR = 1 << 10  # positions whose covered spans are looked at together
+
+
 def uncovered_intervals(df: DataFrame, mask: DataFrame, keys: list[str] = ("seq_id",)) -> DataFrame:
-    """Intervals with at least one position outside the union of ``mask``."""
-    merged = merge_intervals(mask, keys)
-    found = covering(df, merged, "start_pos", keys)
-    inside = F.coalesce(F.col("cover_end") >= F.col("end_pos"), F.lit(False))
-    return found.where(~inside).select(*df.columns)
+    """Intervals with at least one position outside the union of ``mask``.
+
+    A mask of few bytes is sent to the intervals; a larger one meets them in order.
+    """
+    keys = list(keys)
+    merged, small = weighed(merge_intervals(mask, keys))
+    if not small:
+        found = covering(df, merged, "start_pos", keys)
+        inside = F.coalesce(F.col("cover_end") >= F.col("end_pos"), F.lit(False))
+        return found.where(~inside).select(*df.columns)
+    span = F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
+    spans = cut_at_blocks(merged, _NEAR).groupBy(*keys, "_block").agg(F.collect_list(span).alias("_spans"))
+    holds = F.exists("_spans", lambda x: (x["s"] <= F.col("start_pos")) & (x["e"] >= F.col("end_pos")))
+    near = df.withColumn("_block", div("start_pos", _NEAR)).join(F.broadcast(spans), [*keys, "_block"], "left")
+    return near.where(~F.coalesce(holds, F.lit(False))).select(*df.columns)
 
 
-def overlap_join(segments: DataFrame, repeats: DataFrame, block: int, how: str = "left") -> DataFrame:
+def overlap_join(segments: DataFrame, repeats: DataFrame, block: int, how: str = "left", aligned: bool = False) -> DataFrame:
     """Segments with every repeat of the same sequence that overlaps them.
 
     Both sides are cut into position blocks and joined on (seq_id, block); a pair
     is kept in the first block both share. ``segments`` carry ``seg_start`` and
-    ``seg_end``, ``repeats`` carry ``start_pos`` and ``end_pos``.
+    ``seg_end``, ``repeats`` carry ``start_pos`` and ``end_pos``. ``aligned``
+    segments never cross a block border, so each meets a repeat once.
     """
-    left = segments.withColumn(
-        "_block", F.explode(F.sequence(div("seg_start", block), div("seg_end", block)))
-    )
     right = repeats.withColumn(
         "_block", F.explode(F.sequence(div("start_pos", block), div("end_pos", block)))
     )
+    if aligned:
+        right = right.withColumnRenamed("seq_id", "_seq_id").withColumnRenamed("_block", "_near")
+        meets = (
+            (F.col("seq_id") == F.col("_seq_id")) & (F.col("_block") == F.col("_near"))
+            & (F.col("start_pos") <= F.col("seg_end")) & (F.col("end_pos") >= F.col("seg_start"))
+        )
+        pairs = join_few(segments.withColumn("_block", div("seg_start", block)), right, meets, how)
+        return pairs.drop("_block", "_near", "_seq_id")
+    left = segments.withColumn(
+        "_block", F.explode(F.sequence(div("seg_start", block), div("seg_end", block)))
+    )
     pairs = join_few(left, right, ["seq_id", "_block"]).where(
         (F.col("start_pos") <= F.col("seg_end"))
         & (F.col("end_pos") >= F.col("seg_start"))
@@ -174,14 +196,15 @@ def _drop_contained_running(df: DataFrame) -> DataFrame:
     return kept.select(*df.columns)
 
 
-def drop_contained_global(df: DataFrame) -> DataFrame:
+def drop_contained_global(df: DataFrame, block: int = 1 << 16) -> DataFrame:
     """As :func:`drop_contained`, but the previous row may belong to another sequence."""
     with_prev = previous(df, ["seq_id"], "start_pos", report_order(), {"_prev": F.col("end_pos")})
     # the last row of each sequence, handed to the next sequence that has rows
     rank = F.struct("start_pos", -F.col("end_pos"), -F.col("k"), "motif")
     lasts = df.groupBy("seq_id").agg(F.max_by("end_pos", rank).alias("_last"))
-    # no key here: sequences themselves are the positions
-    linked = previous(lasts, [], "seq_id", [F.col("seq_id").asc()], {"_before": F.col("_last")})
+    # no key here: the ranks of sequences are the positions, so that blocks are full whatever the ids are
+    ranked = number_rows(lasts, [], ["seq_id"], "_rank")
+    linked = previous(ranked, [], "_rank", [F.col("_rank").asc()], {"_before": F.col("_last")}, block)
     joined = with_prev.join(linked.select("seq_id", "_before"), "seq_id")
     prev = F.coalesce("_prev", "_before", F.lit(0))
     return joined.where(F.col("end_pos") > prev).select(*df.columns)

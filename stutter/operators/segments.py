@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import Rule
 from ..sources.chunks import chunk_sequences
-from .blocks import durable
+from .blocks import durable, join_few
 from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA
 from .intervals import overlap_join, partial_units
 from .resolve import ranked_reader
@@ -32,7 +32,8 @@ def border_repeats(df: DataFrame, size: int, rule: Rule, **options) -> DataFrame
 
 
 def segment_overlap_join(segs: DataFrame, repeats: DataFrame, size: int, how: str = "left") -> DataFrame:
-    return overlap_join(segs, repeats, size, how)
+    """:func:`overlap_join` of segments of ``size`` characters."""
+    return overlap_join(segs, repeats, size, how, aligned=True)
 
 
 def masked_segment_scan(
@@ -47,7 +48,7 @@ def masked_segment_scan(
         mask = border_repeats(df, size, rule)
     segs = segments(df, size)
     narrow = segs.select("seq_id", "chunk_id", "seg_start", "seg_end")
-    pairs = overlap_join(narrow, mask.select("seq_id", "motif", "start_pos", "end_pos"), size, "inner")
+    pairs = segment_overlap_join(narrow, mask.select("seq_id", "motif", "start_pos", "end_pos"), size, "inner")
     # distinct repeats over one segment: bounded by the segment
     masks = pairs.groupBy("seq_id", "chunk_id").agg(
         F.collect_set(F.struct("motif", "start_pos", "end_pos")).alias("_over")
@@ -65,7 +66,7 @@ def masked_segment_scan(
 
     settled = rule.exact and rule.policy == "ranked" and not rule.every_start
     reader = ranked_reader(rule) if settled else ordered_reader(rule)
-    joined = segs.join(masks, ["seq_id", "chunk_id"], "left").withColumn("mask", F.transform("_over", cell))
+    joined = join_few(segs, masks, ["seq_id", "chunk_id"], "left").withColumn("mask", F.transform("_over", cell))
     return joined.select("seq_id", "seq_name", "chunk_start", "chunk", "mask").mapInArrow(reader, REPEAT_SCHEMA)
 
 

@@ -219,8 +219,9 @@ def tolerant_at_position(
 ) -> DataFrame:
     """The run through each ``(seq_id, pos, k)`` with mismatches and gaps.
 
-    Positions are looked up in their chunk. The few runs that reach the end of
-    the chunk's context are looked up again with eight times as much context.
+    A position asked twice is answered once. Positions are looked up in their
+    chunk; those of runs that reach the end of its context are looked up again,
+    together, with eight times as much context.
     """
     context = min(context, size)
     asked = (
@@ -247,10 +248,10 @@ def tolerant_at_position(
     done = [found.where("not open")]
     while not found.where("open").isEmpty():
         context *= 8
-        wanted = found.where("open").select(
-            "seq_id", "seq_name", F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"),
-            F.array(F.struct("pos", "k")).alias("asked"),
-        )
+        # the open positions of a chunk share one text
+        wanted = found.where("open").groupBy("seq_id", "seq_name", div("pos", size).alias("_chunk")).agg(
+            F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.collect_list(F.struct("pos", "k")).alias("asked")
+        ).drop("_chunk")
         texts = assemble(base, wanted, size, context, context)
         found = durable(_runs_around(texts, rule, context))
         done.append(found.where("not open"))

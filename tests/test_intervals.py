@@ -121,3 +121,13 @@ def test_number_rows(spark):
         by_key.setdefault(key, []).append(i)
     assert got == {i: n for ids in by_key.values() for n, i in enumerate(ids)}
     assert sorted(r.n for r in number_rows(df, [], ["x", "i"], "n").collect()) == list(range(5000))
+
+
+def test_global_containment_with_sparse_ids(spark):
+    rng = random.Random(12)
+    ids = [rng.randrange(1 << 62) for _ in range(60)]
+    rows = ordered({(i, *r[1:]) for i, r in zip([rng.choice(ids) for _ in ROWS], ROWS, strict=False)})
+    want = [r for i, r in enumerate(rows) if r[2] > (rows[i - 1][2] if i else 0)]
+    df = spark.createDataFrame(rows, "seq_id long, start_pos long, end_pos long, k int, motif string").repartition(4)
+    for block in (4, 1 << 16):
+        assert ordered(tuple(r) for r in iv.drop_contained_global(df, block).collect()) == want

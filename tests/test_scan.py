@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stutter.functions.scan import Rule, extend_right, is_primitive, run_around, scan_text, text_repeats
+from stutter.functions.scan import Rule, _Reader, is_primitive, run_around, scan_text, text_repeats
 
 # fixed values: sample strings and golden rows
 S1 = (
@@ -57,6 +57,12 @@ def test_golden_tolerant(text, miss, gap, rows):
     assert [(text[p : p + k], cnt, p, end) for k, p, cnt, end in got] == rows
 
 
+def extend_right(text, start, k, rule):
+    """(units, last position) of the run that begins at ``start``."""
+    found, stop = _Reader(text, k, rule).right(text[start : start + k], start + k)
+    return found + 1, stop - 1
+
+
 def test_golden_extension():
     assert extend_right(S1, 71, 3, Rule((3,))) == (3, 79)
     assert extend_right(S1, 71, 3, Rule((3,), 3, 1, 1)) == (5, 87)
