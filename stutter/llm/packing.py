@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .text import slices, texts
-from .tokens import Encoder
+from .tokens import encoder
 
 LENGTH = 2048
 GROUP = 8192  # documents packed together, about
@@ -32,12 +32,12 @@ PACKED = (
 
 def _encoded(name: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name)
+        known = encoder(name)
         for batch in batches:
             for lo, hi in slices(batch["text"]):
                 data, at = texts(batch["text"].slice(lo, hi - lo))
                 raw = data.tobytes()
-                ids, n = encoder.encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+                ids, n = known.encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
                 crcs, end = [], 0
                 for k in n.tolist():
                     own = np.append(ids[end : end + k], np.uint32(END)).astype("<u4")

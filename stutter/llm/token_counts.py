@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import slices, texts
-from .tokens import Counter
+from .tokens import counter
 
 LIMIT = 2048
 
 
 def _counted(name: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(name)
+        known = counter(name)
         for batch in batches:
             for lo, hi in slices(batch["text"]):
                 data, at = texts(batch["text"].slice(lo, hi - lo))
                 raw = data.tobytes()
-                n = counter.counts([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+                n = known.counts([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],

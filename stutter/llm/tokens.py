@@ -1,35 +1,64 @@
 """Tokens of texts, encoded in batches; repeated words are encoded once.
 
 Texts are cut where a cut cannot change the tokens. What is cut off is looked
-up in a memory of bounded size, and only new strings go to the tokenizer,
-together, in batches balanced by bytes.
+up in a memory of bounded size, and only new strings are encoded, together, in
+batches balanced by bytes. The memory belongs to the Python worker and outlives
+a task; when it is full, the strings used least are forgotten.
 """
 
 from __future__ import annotations
 
+import base64
 import itertools
 import os
-from functools import lru_cache
+import re
 
 import numpy as np
 import public_tokenizers
 
-KEPT = 200_000  # strings a task remembers
+KEPT = 400_000  # strings a worker remembers
 _LONGEST_KEPT = 64  # bytes; longer strings are encoded each time
 _BATCH = 1 << 18  # bytes encoded together
-# first bytes of characters among which are white space outside ASCII
-_MAYBE_SPACE = {0xC2, 0xE1, 0xE2, 0xE3}
+# a space before a character that is not white space; those outside ASCII begin with the bytes left out
+_CUT = re.compile(rb" (?=[!-~\xc3-\xe0\xe4-\xff])")
+# ASCII and the Latin-1 letters, whose classes no version of Unicode or of a pattern engine disputes
+_PLAIN = bytes([*range(0xC0), 0xC3])
+
+
+def _once(key: tuple, make):
+    """A value that this Python process makes once; kept on an imported module, since tasks bring copies of this one."""
+    kept = public_tokenizers.__dict__.setdefault("_made_once", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(name: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use the cores
-    from tokenizers import Tokenizer
+    def make():
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use the cores
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(public_tokenizers.path(name))
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    return _once(("tokenizer", name), make)
+
+
+def _ranks(name: str):
+    """The same vocabulary for a faster encoder, where a rank file lies beside it."""
+    def make():
+        path = public_tokenizers.path(name.removesuffix(".json") + ".tiktoken")
+        if not os.path.exists(path):
+            return None
+        import tiktoken
 
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.no_truncation()
-    found.no_padding()
-    return found
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return _once(("ranks", name), make)
 
 
 def _batches(strings: list[bytes]):
@@ -52,6 +81,51 @@ def encode(name: str, strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def encode_plain(name: str, strings: list[bytes]) -> list[list[int]]:
+    """:func:`encode`; strings of plain characters and without special tokens go by the rank file."""
+    fast = _ranks(name)
+    if fast is None:
+        return encode(name, strings)
+    plain = [not s.translate(None, _PLAIN) and b"<|" not in s for s in strings]
+    slow = iter(encode(name, [s for s, p in zip(strings, plain, strict=True) if not p]))
+    return [fast.encode_ordinary(s.decode()) if p else next(slow) for s, p in zip(strings, plain, strict=True)]
+
+
+class Memory:
+    """Numbers of known strings, and how often each was used."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.index: dict[bytes, int] = {}
+        self.uses = np.zeros(1024, np.int64)
+
+    def new(self, strings) -> list[bytes]:
+        return [s for s in dict.fromkeys(strings) if s not in self.index]
+
+    def add(self, strings: list[bytes]) -> None:
+        self.index.update(zip(strings, range(len(self.index), len(self.index) + len(strings)), strict=True))
+        if len(self.index) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.index), np.int64)])
+
+    def look_up(self, strings, n: int) -> np.ndarray:
+        at = np.fromiter(map(self.index.__getitem__, strings), np.int64, n)
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        return at
+
+    def forget(self) -> np.ndarray | None:
+        """Old numbers of the strings that stay, if some had to go; they are numbered anew."""
+        n = len(self.index)
+        if n <= self.kept:
+            return None
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.kept * 3 // 4])
+        names = list(self.index)
+        names = [names[i] for i in keep if len(names[i]) <= _LONGEST_KEPT]
+        keep = np.array([self.index[s] for s in names], np.int64)
+        self.index = dict(zip(names, range(len(names)), strict=True))
+        self.uses = np.concatenate([self.uses[keep] // 2, np.zeros(1024, np.int64)])
+        return keep
+
+
 class Counter:
     """Token counts of texts whose tokenizer drops white space and never joins words across it.
 
@@ -60,21 +134,23 @@ class Counter:
     """
 
     def __init__(self, name: str, kept: int = KEPT):
-        self.name, self.kept = name, kept
-        self.known: dict[bytes, int] = {}
+        self.name, self.memory = name, Memory(kept)
+        self.sizes = np.zeros(0, np.int64)
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         parts = [t.split() for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {}
-        known = self.known
-        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(parts)) if w not in known]
-        fresh = dict(zip(new, map(len, encode(self.name, new)), strict=True))
-        out = np.fromiter((
-            sum([n if (n := known.get(w)) is not None else fresh[w] for w in p]) for p in parts
-        ), np.int64, len(parts))
-        known.update((w, n) for w, n in fresh.items() if len(w) <= _LONGEST_KEPT)
-        return out
+        stay = self.memory.forget()
+        if stay is not None:
+            self.sizes = self.sizes[stay]
+        new = self.memory.new(itertools.chain.from_iterable(parts))
+        fresh = np.fromiter(map(len, encode(self.name, new)), np.int64, len(new))
+        self.memory.add(new)
+        self.sizes = np.concatenate([self.sizes, fresh])
+        words = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = self.memory.look_up(itertools.chain.from_iterable(parts), int(words.sum()))
+        total = np.concatenate([[0], np.cumsum(self.sizes[at])])
+        ends = np.concatenate([[0], np.cumsum(words)])
+        return total[ends[1:]] - total[ends[:-1]]
 
 
 class Encoder:
@@ -85,58 +161,46 @@ class Encoder:
     """
 
     def __init__(self, name: str, kept: int = KEPT):
-        self.name, self.kept = name, kept
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.end = 0
-
-    def _add(self, strings: list[bytes]) -> None:
-        for s, ids in zip(strings, encode(self.name, strings), strict=True):
-            k = len(self.known)
-            if k == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-            while self.end + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.known[s] = k
-            self.starts[k], self.sizes[k] = self.end, len(ids)
-            self.ids[self.end : self.end + len(ids)] = ids
-            self.end += len(ids)
+        self.name, self.memory = name, Memory(kept)
+        self.ids = np.zeros(0, np.uint32)
+        self.sizes = np.zeros(0, np.int64)
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
         """Pieces that can be encoded on their own."""
-        parts = text.split(b" ")
-        out = parts[:1]
-        held: list[bytes] = []  # of the last piece, where it goes on
-        for p in parts[1:]:
-            if p and not (p[0] <= 0x20 or 0x7F <= p[0] < 0xC0 or p[0] in _MAYBE_SPACE):
-                if held:
-                    out[-1] = b" ".join([out[-1], *held])
-                    held = []
-                out.append(b" " + p)
-            else:
-                held.append(p)
-        if held:
-            out[-1] = b" ".join([out[-1], *held])
-        return out if out[0] else out[1:]
+        first, *rest = _CUT.split(text)
+        rest = [b" " + p for p in rest]
+        return [first, *rest] if first else rest
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
         pieces = [self.cut(t) for t in texts]
-        if len(self.known) > self.kept or self.end > 16 * self.kept:
-            self._clear()
-        known = self.known
-        self._add([p for p in dict.fromkeys(itertools.chain.from_iterable(pieces)) if p not in known])
+        stay = self.memory.forget()
+        if stay is not None:
+            self.ids, self.sizes = self._gather(stay), self.sizes[stay]
+        new = self.memory.new(itertools.chain.from_iterable(pieces))
+        fresh = encode_plain(self.name, new)
+        self.memory.add(new)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        flat = np.fromiter(itertools.chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
+        self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes])
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        at = self.memory.look_up(itertools.chain.from_iterable(pieces), int(counts.sum()))
+        total = np.concatenate([[0], np.cumsum(self.sizes[at])])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return self._gather(at), np.diff(total[ends])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the strings with these numbers, end to end."""
         size = self.sizes[at]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[at] - (ends - size), size) + np.arange(total)]
-        piece_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return ids, np.diff(np.concatenate([[0], piece_ends]))
+        begin = np.cumsum(self.sizes) - self.sizes
+        return self.ids[np.repeat(begin[at] - (ends - size), size) + np.arange(int(size.sum()))]
+
+
+def counter(name: str) -> Counter:
+    return _once(("counter", name), lambda: Counter(name))
+
+
+def encoder(name: str) -> Encoder:
+    return _once(("encoder", name), lambda: Encoder(name))
