@@ -8,7 +8,6 @@ slice, so a piece that a third of all documents hold counts once per slice.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stutter.operators.blocks import durable, shared_folder
+from stutter.operators.blocks import durable, scratch
 
 BUCKET = 500_000  # values meant for one bucket
 _LEAST_BUCKETS, _MOST_BUCKETS = 256, 1 << 20
@@ -24,9 +23,9 @@ FEW_BYTES = 24 << 20  # most that is broadcast
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder; later uses read it."""
+    """``df`` as a table in the shared folder, deleted when the application ends; later uses read it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
