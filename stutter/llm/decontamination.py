@@ -56,16 +56,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", it
     """``_id, _row, item_id, start, end``: overlaps of ``docs(_id, _row, text)`` with test items, in tokens."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(F.col(item_text)).alias("item"))
     items = written(items.where(F.size("item") >= LEAST).distinct())
-    item_seeds = _seeds(items, "item").select("seed", "item_id", F.col("pos").alias("item_pos"), "item")
-    item_seeds = written(item_seeds)
+    item_seeds = written(_seeds(items, "item").select("seed", "item_id", F.col("pos").alias("item_pos"), "item"))
     size = item_seeds.agg(F.sum(F.lit(40) + F.aggregate("item", F.lit(0), lambda a, w: a + F.octet_length(w) + 16))).first()[0]
-    item_seeds = F.broadcast(item_seeds) if (size or 0) <= FEW_BYTES else item_seeds.hint("merge")
     texts = docs.select("_id", "_row", tokens(F.col("text")).alias("words"))
-    hits = _seeds(texts, "words").join(item_seeds, "seed").select(
-        "_id", "_row", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("at"),
-        F.slice("words", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)) + 1, F.size("item")).alias("piece"),
-    )
-    hits = hits.groupBy("_id", "_row", "item_id", "item", "at").agg(F.first("piece").alias("piece"))
+    at = F.col("pos") - F.col("item_pos")
+    piece = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.size("item"))
+    if (size or 0) <= FEW_BYTES:  # the words are at hand where a seed is found
+        hits = _seeds(texts, "words").join(F.broadcast(item_seeds), "seed").withColumn("at", at)
+        hits = hits.select("_id", "_row", "item_id", "item", "at", piece.alias("piece"))
+        hits = hits.groupBy("_id", "_row", "item_id", "item", "at").agg(F.first("piece").alias("piece"))
+    else:  # a large test set: only ids and seeds are shuffled, and texts fetched for hits
+        seeds = _seeds(texts, "words").select("_id", "_row", "pos", "seed")
+        hits = seeds.join(item_seeds.drop("item").hint("merge"), "seed")
+        hits = hits.select("_id", "_row", "item_id", at.alias("at")).distinct().join(items.hint("merge"), "item_id")
+        hits = texts.distinct().join(hits.hint("merge"), ["_id", "_row"])
+        hits = hits.select("_id", "_row", "item_id", "item", "at", piece.alias("piece"))
     found = hits.withColumn("places", _verified(F.col("piece"), F.least(F.col("at"), F.lit(0)), F.col("item")))
     return found.where(F.size("places") > 0).select(
         "_id", "_row", "item_id", (F.col("at") + F.array_min("places")).cast("long").alias("start"),

@@ -150,9 +150,10 @@ def top_k(
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     n, m = rows.count(), queries.count()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-m // QUERIES))
-    dealt = lambda df, blocks: df.withColumn("block", (F.rand(5) * blocks).cast("long"))
-    c = dealt(rows, c_blocks).groupBy("block").applyInArrow(_block(scale), _BLOCK)
-    q = dealt(queries, q_blocks).groupBy("block").applyInArrow(_block(scale), _BLOCK)
+    # rows as they are read come in the same order again; equal ones are dealt to different blocks
+    c = rows.withColumn("block", (F.rand(5) * c_blocks).cast("long")).groupBy("block").applyInArrow(_block(scale), _BLOCK)
+    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "key"), F.lit(q_blocks)).cast("long"))
+    q = q.groupBy("block").applyInArrow(_block(scale), _BLOCK)
     q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns if x != "block"],
                  F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
     q = q.withColumn("block", F.col("block").cast("long"))

@@ -109,7 +109,9 @@ def test_masks_cover_all_substitutions():
             )
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("few", [decontamination.FEW_BYTES, 0])
+def test_contamination(spark, monkeypatch, few):
+    monkeypatch.setattr(decontamination, "FEW_BYTES", few)
     rng = random.Random(3)
     items = [(i, " ".join(prose(rng, n)).title()) for i, n in enumerate((40, 20, 13, 12, 8, 7))] + [(8, None), (9, "")]
     rows = [(i, " ".join(prose(rng, 90))) for i in range(12)] + ODD
