@@ -161,15 +161,15 @@ def shared_hashes(sent: DataFrame) -> DataFrame:
 
 
 def look_up(
-    sent: DataFrame, shared: DataFrame, found: Callable, schema: str, most: int = 4 * BUCKET
+    sent: DataFrame, shared: DataFrame, found: Callable, schema: str, most: int | None = None
 ) -> DataFrame:
     """Hand each packed row of ``sent`` to ``found`` with what its bucket shares.
 
     Rows stream past the shared values of their bucket; no bucket is collected.
-    A bucket with more than ``most`` values, such as one with a hash that very
-    many documents hold, is dealt to several tasks.
+    A bucket with more than ``most`` values (four times what is meant for one),
+    such as one with a hash that very many documents hold, is dealt to several tasks.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("load") / most)).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("load") / (most or 4 * BUCKET))).cast("int")
     loads = shared.select("bucket", parts.alias("parts"))
     columns = {f.name: f.dataType for f in sent.schema if f.name != "bucket"}
     left = sent.join(F.broadcast(loads), "bucket").select(  # at most _MOST_BUCKETS rows of 16 bytes

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from stutter.llm import decontamination, jaccard_join, line_chunks, substring_dedup, topk
+from stutter.llm import decontamination, jaccard_join, line_chunks, shared, substring_dedup, topk
 from stutter.llm.shared import connected
 
 # names that the operators use inside, of other types
@@ -25,16 +25,16 @@ def prose(rng, n, vocabulary=400):
 ODD = [(None, None), (None, "a b c"), (90, None), (91, ""), (92, " \n\t "), (93, "one"), (93, "one"), (94, "é " * 70)]
 
 
-def texts(seed, shared, copies=3):
+def texts(seed, size, copies=3):
     """Documents with shared passages at odd places, exact and near copies."""
     rng = random.Random(seed)
-    passage = prose(rng, shared)
+    passage = prose(rng, size)
     out = []
     for i in range(14):
         w = prose(rng, rng.randrange(10, 160))
         if i % 2:
             at = rng.randrange(len(w))
-            w[at:at] = passage[rng.randrange(5) : shared - rng.randrange(5)]
+            w[at:at] = passage[rng.randrange(5) : size - rng.randrange(5)]
         out.append((i * 3, rng.choice([" ", "  ", "\n"]).join(w)))
     for k in range(copies):
         out.append((100 + k, out[k][1]))
@@ -46,14 +46,29 @@ def texts(seed, shared, copies=3):
     return out
 
 
-@pytest.mark.parametrize("shared", [49, 55, 90])
-def test_substring_dedup(spark, shared):
-    rows = texts(shared, shared) + ODD
+@pytest.mark.parametrize("size", [49, 55, 90])
+def test_substring_dedup(spark, size):
+    rows = texts(size, size) + ODD
     got = substring_dedup.substring_dedup(docs(spark, rows))
     kept = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()]
     assert sorted(kept, key=repr) == sorted(brute.substring_dedup(rows), key=repr)
 
 
+@pytest.mark.parametrize("few", [0, 300])
+def test_without_broadcasts_and_with_split_buckets(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW_BYTES", few)
+    monkeypatch.setattr(shared, "BUCKET", 2)
+    rows = texts(2, 70, 2) + near_copies(3, 8) + ODD
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute.substring_dedup(rows), key=repr)
+    got = [tuple(r) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute.jaccard_components(rows), key=repr)
+    cut = line_chunks.line_dedup(docs(spark, rows)).select("doc_id", "n_removed", "kept_text").collect()
+    monkeypatch.setattr(shared, "FEW_BYTES", 1 << 24)
+    same = line_chunks.line_dedup(docs(spark, rows)).select("doc_id", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, cut), key=repr) == sorted(map(tuple, same), key=repr)
+
+
 def test_cover():
     d, v = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % v for a in d for b in d} == set(range(v))
