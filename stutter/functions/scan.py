@@ -392,6 +392,8 @@ def _scan_one(lane: _Lane, rule, cells, borders, cut_short, out: Scan):
     k = lane.k
     marks = [[b, -1] for b in borders]
     waiting = list(range(len(borders)))
+    seen, free = 1, 0  # cells from seen up to free are covered; nothing known yet
+    begun, filled = 0, 0  # the last stretch that was filled
     pos = 0
     while True:
         p = lane.next_start(pos)
@@ -403,10 +405,18 @@ def _scan_one(lane: _Lane, rule, cells, borders, cut_short, out: Scan):
         cnt, end = lane.run()
         if cut_short and end + rule.step >= out.certain_to:
             out.certain_to = min(out.certain_to, p)
-        if cells.find(0, p, end + 1) < 0:
+        if not seen <= p <= free:  # the next free cell is looked for once per covered stretch
+            seen, free = p, cells.find(0, p)
+            free = len(cells) if free < 0 else free
+        if free > end:
             pos = p + 1
             continue
-        cells[p : end + 1] = b"\x01" * (end + 1 - p)
+        if not begun <= p <= filled:
+            begun, filled = p, p
+        if end >= filled:  # what an overlapping report has filled stays
+            cells[filled : end + 1] = b"\x01" * (end + 1 - filled)
+            filled = end + 1
+        seen, free = 1, 0
         out.rows.append((k, p, cnt, end))
         for mark, b in zip(marks, borders):
             if p < b <= end:

@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.scalars import primitive_motif, rotate
 from ..functions.scan import Rule
-from ..sources.chunks import CHUNK_SIZE, chunk_sequences
+from ..sources.chunks import CHUNK_SIZE, chunk_sequences, is_pieces
 from .blocks import div, durable_counted, join_few
 from .intervals import merge_intervals, uncovered_intervals
 
@@ -140,12 +140,23 @@ def exact_regions(
     rule = Rule(tuple(k_list), min_repeat)
     ks = tuple(dict.fromkeys(rule.k_list))
     size = max(size, *ks)
-    chunks = chunk_sequences(df, size, halo=max(ks), spread=spread)
 
     def find(batches):
         return _find_runs(batches, ks, min_repeat, primitive_only, size)
 
-    runs, at_borders = durable_counted(chunks.mapInArrow(find, _RUN_SCHEMA), F.col("border"))
+    def runs_of(part: DataFrame, spread: int | None) -> tuple[DataFrame, int]:
+        chunks = chunk_sequences(part, size, halo=max(ks), spread=spread)
+        return durable_counted(chunks.mapInArrow(find, _RUN_SCHEMA), F.col("border"))
+
+    if spread or is_pieces(df):
+        runs, at_borders = runs_of(df, spread)
+    else:  # strings of one chunk stay where they are, the chunks of longer ones are dealt out
+        seen, is_long = Observation(), F.length("seq") > size
+        runs, at_borders = runs_of(df.observe(seen, F.count_if(is_long).alias("long")).where(~is_long), None)
+        if seen.get["long"]:
+            tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            more, borders = runs_of(df.where(is_long), tasks)
+            runs, at_borders = runs.unionByName(more), at_borders + borders
     length = F.col("end_pos") - F.col("start_pos") + 1
     columns = ["seq_id", "seq_name", "k", "motif", "start_pos", (length + F.col("k")).alias("length")]
     inside = runs.where("not border").select(*columns)
