@@ -28,6 +28,7 @@ from .shared import (
     values, with_few, written,
 )
 from .text import Windows, Words, mix, slices
+from .tokens import release
 
 SHINGLE = 5
 RADIUS = 0.2 + 1e-9  # Jaccard distance of 80 per cent similarity
@@ -75,6 +76,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and two hashes of each document's set."""
+    release()
     for batch in batches:
         for doc, text in _parts(batch):
             row, h, n = _sets(text)

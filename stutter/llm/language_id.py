@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .text import slices
+from .tokens import release
 
 LABELLED = 20_000  # labelled documents learned from, about; chosen by a hash of their ids
 WORDS, GRAMS = 50_000, 50_000  # most frequent words and n-grams in the model
 LONGEST = 4  # characters of an n-gram
 UNKNOWN = "und"
-_REMEMBERED = 200_000  # scores of unknown words that a task keeps
+_TOGETHER = 2 << 20  # bytes of text looked at together
+_REMEMBERED = 100_000  # scores of unknown words that a task keeps
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
 
@@ -45,8 +47,9 @@ def grams_of(word: str) -> Iterator[str]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
-        for lo, hi in slices(batch["text"], 4 << 20):
+        for lo, hi in slices(batch["text"], _TOGETHER):
             counts: Counter = Counter()
             part = batch.slice(lo, hi - lo)
             for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True):
@@ -147,14 +150,15 @@ class _Scorer:
 
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = _Scorer(shared.value)
         for batch in batches:
-            for lo, hi in slices(batch["text"], 4 << 20):
+            for lo, hi in slices(batch["text"], _TOGETHER):
                 part = batch.slice(lo, hi - lo)
                 got = list(scorer.scores(part["text"].to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["all"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                    ["all", "lang_pred", "score"],
+                    [part["rest"], part["text"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                    ["rest", "text", "lang_pred", "score"],
                 )
 
     return run
@@ -179,10 +183,12 @@ def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``all`` (its columns as a struct), ``lang_pred`` and ``score``."""
+    """``rest`` (the other columns as a struct), ``text``, ``lang_pred`` and ``score`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS rows of one number per language
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predicted(shared), f"all {rows.schema['all'].dataType.simpleString()}, lang_pred string, score double")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(_predicted(shared), f"rest {kind}, text string, lang_pred string, score double")
 
 
 def _third(doc_id: str):
@@ -205,7 +211,7 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
         F.col(text).alias("text"),
     )
     out = predict(rows.select("doc_id", "held_out", "text"), model)
-    return out.select("all.doc_id", "all.held_out", "lang_pred", "score")
+    return out.select("rest.doc_id", "rest.held_out", "lang_pred", "score")
 
 
 def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LABELLED) -> Model:
@@ -216,4 +222,6 @@ def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LABELLED) -> DataFrame:
     """``docs`` with all its columns, without texts of no language."""
     out = predict(docs, learn_from(docs, doc_id, text, lang, most), text)
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("all")[c].alias(c) for c in docs.columns])
+    return out.where(F.col("lang_pred") != UNKNOWN).select(*[
+        (F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in docs.columns
+    ])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import with_few, written
 from .text import SLICE, Windows, mix, slices, texts
+from .tokens import release
 
 ROLL = 2  # lines in the rolling hash
 EVERY = 3  # a chunk ends after one in so many lines
@@ -55,6 +56,7 @@ def _rows(batch: pa.RecordBatch, column: str = "text"):
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of each chunk of several lines."""
+    release()
     for batch in batches:
         ids, rows = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
         out = []
