@@ -116,7 +116,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).select(
+    return line_dedup(_table(spark, sf_dir, "documents"), whole=True).select(
         "doc_id", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256"
     )
 

@@ -184,6 +184,53 @@ def test_line_dedup(spark):
     assert cut.columns == docs(spark, rows).columns and cut.count() == len(rows)
 
 
+def whole_lines(rows):
+    """Numbers of lines removed and texts left, comparing every place with every earlier one."""
+    order = sorted({(d, t) for d, t in rows if t is not None})
+    gone = {}
+    for k, (d, t) in enumerate(order):
+        lines = t.split("\n")
+        out = gone[d, t] = set()
+        for d0, t0 in order[: k + 1]:
+            other = lines if (d0, t0) == (d, t) else t0.split("\n")
+            for i in range(len(lines)):
+                for j in range(min(len(other), i) if other is lines else len(other)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n] and (
+                        other is not lines or j + n < i):
+                        n += 1
+                    if n > 1 and "".join(lines[i : i + n]).strip():
+                        out.update(range(i, i + n))
+    return [(d, len(gone.get((d, t), ())), None if t is None else "\n".join(
+        x for i, x in enumerate(t.split("\n")) if i not in gone[d, t])) for d, t in rows]
+
+
+def test_whole_line_dedup_leaves_no_repeated_run(spark, monkeypatch):
+    rng = random.Random(14)
+    line = lambda: " ".join(prose(rng, rng.randrange(12, 30)))
+    common = line()
+    rows = []
+    for k in range(12):  # passages of 2 to 5 lines between lines of their own
+        passage = [line() for _ in range(2 + k % 4)]
+        if k % 3 == 0:
+            passage[1:1] = ["", "", ""]
+        for c in range(3):
+            own = [line() for _ in range(rng.randrange(5))] + [common]
+            rows.append((10 * k + c, "\n".join(own[:2] + passage + own[2:])))
+    rows += [(500, rows[4][1]), (500, rows[4][1]), (501, rows[4][1] + "\n" + rows[8][1]), (502, "\n".join([common, "x"])),
+             (503, "\n".join([line(), line()] * 4)), (504, "\n".join(["same"] * 5)), (505, "\n\n\n\n"), (506, "\n\n\n\n"),
+             (507, ""), (508, None), (509, "a\r\nb\r\nc"), (510, "a\r\nb\r\nd"), (511, "a\nb\nd")]
+    want = sorted(whole_lines(rows), key=repr)
+    assert sum(w[1] for w in want) > 80
+    for few in (shared.FEW_BYTES, 100):
+        monkeypatch.setattr(shared, "FEW_BYTES", few)
+        got = line_chunks.line_dedup(docs(spark, rows), whole=True).collect()
+        assert sorted(((r.doc_id, r.n_removed, r.kept_text) for r in got), key=repr) == want
+    left = line_chunks.without_repeats(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=repr) == sorted(((d, t) for d, _, t in want), key=repr)
+    assert line_chunks.line_dedup(docs(spark, []), whole=True).count() == 0
+
+
 def test_chunk_borders_find_their_place_again():
     rng = random.Random(8)
     lines = [f"line {rng.random()}".encode() for _ in range(200)]
