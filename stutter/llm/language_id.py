@@ -122,14 +122,15 @@ class _Scorer:
         self.table = np.concatenate([self.model.word_scores, np.zeros((1024, len(self.model.langs)), np.float32)])
 
     def scores(self, texts: list[str | None]):
-        """Language and score of each text."""
+        """Language and score of each text, and whether it has a letter."""
         model = self.model
         if len(self.index) > len(model.words) + _REMEMBERED:
             self._clear()
         for text in texts:
             words = words_of(text)
-            if not model.langs or not has_letter(words):
-                yield UNKNOWN, 0.0
+            letter = has_letter(words)
+            if not model.langs or not letter:
+                yield UNKNOWN, 0.0, letter
                 continue
             total = np.zeros(len(model.langs))
             for lo in range(0, len(words), 1 << 16):
@@ -145,7 +146,7 @@ class _Scorer:
                 if len(self.index) > len(model.words) + 4 * _REMEMBERED:  # one text of very many new words
                     self._clear()
             best = int(np.argmax(total))
-            yield model.langs[best], float(1 / np.exp(total - total[best]).sum())
+            yield model.langs[best], float(1 / np.exp(total - total[best]).sum()), True
 
 
 def _predicted(shared):
@@ -157,8 +158,9 @@ def _predicted(shared):
                 part = batch.slice(lo, hi - lo)
                 got = list(scorer.scores(part["text"].to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["rest"], part["text"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                    ["rest", "text", "lang_pred", "score"],
+                    [part["rest"], part["text"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                     pa.array([g[2] for g in got], pa.bool_())],
+                    ["rest", "text", "lang_pred", "score", "letter"],
                 )
 
     return run
@@ -183,12 +185,12 @@ def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rest`` (the other columns as a struct), ``text``, ``lang_pred`` and ``score`` of each row."""
+    """``rest`` (the other columns as a struct), ``text``, ``lang_pred``, ``score`` and ``letter`` (has one) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS rows of one number per language
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(shared), f"rest {kind}, text string, lang_pred string, score double")
+    return rows.mapInArrow(_predicted(shared), f"rest {kind}, text string, lang_pred string, score double, letter boolean")
 
 
 def _third(doc_id: str):
@@ -220,8 +222,12 @@ def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LABELLED) -> DataFrame:
-    """``docs`` with all its columns, without texts of no language."""
-    out = predict(docs, learn_from(docs, doc_id, text, lang, most), text)
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*[
+    """``docs`` with all its columns, without texts of no language: null ones and those without a letter.
+
+    Where no language was learned nothing is known of any text, and the same go.
+    """
+    model = learn_from(docs, doc_id, text, lang, most)
+    out = predict(docs, model, text)
+    return out.where(F.col("lang_pred") != UNKNOWN if model.langs else F.col("letter")).select(*[
         (F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in docs.columns
     ])

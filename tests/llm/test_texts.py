@@ -156,6 +156,15 @@ def test_language_id(spark):
     assert kept.count() == sum(r.lang_pred != "und" for r in got)
 
 
+def test_identified_keeps_texts_where_no_language_was_learned(spark):
+    rows = [*ODD, (600, "12 34 !?"), (601, "½ _ ²"), (602, "日本"), (603, "der die und")]
+    untaught = docs(spark, rows).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    kept = language_id.identified(untaught)
+    assert kept.columns == ["doc_id", "text", "lang"]
+    want = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr) and len(want) >= 6
+
+
 def test_backoff_prefers_longer_grams():
     model = language_id.Model(
         [("a", "the", 9), ("b", "der", 9)],
