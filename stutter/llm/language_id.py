@@ -21,10 +21,11 @@ from .shared import written
 from .text import slices
 from .tokens import release
 
-LABELLED = 20_000  # labelled documents learned from, about; chosen by a hash of their ids
-WORDS, GRAMS = 50_000, 50_000  # most frequent words and n-grams in the model
+LABELLED = 20_000  # labelled documents learned from, about; chosen by a hash in each language
+WORDS, GRAMS = 50_000, 50_000  # words and n-grams in the model, the most frequent ones of each language
 LONGEST = 4  # characters of an n-gram
 UNKNOWN = "und"
+_PLACES = 1 << 30  # of rows by their hash
 _TOGETHER = 2 << 20  # bytes of text looked at together
 _REMEMBERED = 100_000  # scores of unknown words that a task keeps
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -166,18 +167,48 @@ def _predicted(shared):
     return run
 
 
+def shares(rows: dict[str, int], most: int) -> dict[str, float]:
+    """Share of the rows of each language that is learned from, with about ``most`` rows in all: small languages whole."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        part = min(n, left / (len(rows) - k))
+        out[lang], left = part / n, left - part
+    return out
+
+
 def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
-    """A model from ``labelled(doc_id, text, lang)``: all rows up to ``most``, beyond that a hashed share of about ``most``."""
-    n = labelled.count()
-    if n > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    """A model from ``labelled(doc_id, text, lang)``: all rows up to ``most``, beyond that a share by hash.
+
+    Each language has the same share of ``most``; one with fewer rows is taken
+    whole, and what it leaves goes to the others. At least the row with the
+    smallest hash of each language is taken. Words and n-grams are ranked in
+    each language, and those with the best rank in any language make the model.
+    """
+    spark = labelled.sparkSession
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PLACES))
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    if sum(r.n for r in known) > most:
+        part = shares({r.lang: r.n for r in known}, most)
+        upto = [(r.lang, max(int(part[r.lang] * _PLACES), r.least + 1)) for r in known]
+        few = F.broadcast(spark.createDataFrame(upto, "lang string, upto long"))  # a row per language
+        labelled = labelled.join(few, "lang").where(place < F.col("upto"))
     found = labelled.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
     counts = written(found.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
 
     def most_frequent(df: DataFrame, limit: int) -> list[tuple[str, str, int]]:
-        top = df.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "word").limit(limit)
-        return [(r.lang, r.word, r.n) for r in df.join(F.broadcast(top.select("word")), "word").collect()]
+        several = written(df.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1"))
+        if several.count() > limit:  # a word's rank: how many are more frequent, and a hashed place among its equals
+            same = df.groupBy("lang", "n").count().collect()  # frequencies that occur, about the root of the words read
+            above, before = [], Counter()
+            for r in sorted(same, key=lambda r: (r["lang"], -r["n"])):
+                above.append((r["lang"], r["n"], before[r["lang"]], r["count"]))
+                before[r["lang"]] += r["count"]
+            above = F.broadcast(spark.createDataFrame(above, "lang string, n long, above long, equal long"))
+            among = F.pmod(F.xxhash64("word"), F.lit(_PLACES)) / _PLACES
+            best = df.join(above, ["lang", "n"]).groupBy("word").agg(F.min(F.col("above") + F.col("equal") * among).alias("best"))
+            several = best.join(several, "word").orderBy("best", F.desc("all"), "word").limit(limit)
+        return [(r.lang, r.word, r.n) for r in df.join(F.broadcast(several.select("word")), "word").select("lang", "word", "n").collect()]
 
     grams = counts.mapInArrow(_gram_counts, "lang string, word string, n long")
     grams = written(grams.groupBy("lang", "word").agg(F.sum("n").alias("n")))

@@ -165,6 +165,26 @@ def test_identified_keeps_texts_where_no_language_was_learned(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr) and len(want) >= 6
 
 
+def test_small_languages_are_learned_beside_large_ones(spark, monkeypatch):
+    assert language_id.shares({"a": 10, "b": 1000, "c": 90}, 200) == {"a": 1.0, "b": 0.1, "c": 1.0}
+    rng = np.random.default_rng(6)
+    words = {k: [f"{k}{''.join(rng.choice(list(k), 5))}" for _ in range(300)] for k in ("abcd", "wxyz")}
+    text = lambda k: " ".join(rng.choice(words[k], 30))
+    rows = [(i, text("abcd"), "large") for i in range(600)] + [(1000 + i, text("wxyz"), "small") for i in range(4)]
+    rows += [(2000, "qqq rrr qqq rrr", "one")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "WORDS", 60)
+    monkeypatch.setattr(language_id, "GRAMS", 60)
+    model = language_id.learn(labelled, 60)
+    assert model.langs == ["large", "one", "small"]
+    assert len(model.words) <= 60 and len(model.grams) <= 60
+    assert {"qqq", "rrr"} <= set(model.words) and sum(w[0] in "wxyz" for w in model.words) >= 10
+    assert sum(set("wxyz") & set(g) != set() for g in model.grams) >= 10
+    scorer = language_id._Scorer(model)
+    got = [lang for lang, _, _ in scorer.scores([text("abcd"), text("wxyz"), "rrr", "xyzw wxxy"])]
+    assert got == ["large", "small", "one", "small"]
+
+
 def test_backoff_prefers_longer_grams():
     model = language_id.Model(
         [("a", "the", 9), ("b", "der", 9)],
