@@ -26,6 +26,7 @@ WORDS, GRAMS = 50_000, 50_000  # words and n-grams in the model, the most freque
 LONGEST = 4  # characters of an n-gram
 UNKNOWN = "und"
 _PLACES = 1 << 30  # of rows by their hash
+_AT_HAND = 200_000  # different n-grams that a task counts before it sends them on
 _TOGETHER = 2 << 20  # bytes of text looked at together
 _REMEMBERED = 100_000  # scores of unknown words that a task keeps
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,17 +64,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter = Counter()
-        for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-            for g in grams_of(word[:64]):  # of one word, not of a text: longer ones add nothing new
-                counts[lang, g] += n
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
+    """N-grams of whole words, which are whole sentences in scripts without spaces; sent on when many are at hand."""
+    counts: Counter = Counter()
+
+    def sent() -> pa.RecordBatch:
+        keys, n = list(counts), list(counts.values())
+        counts.clear()
+        return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"],
+             pa.array(n, pa.int64())], ["lang", "word", "n"],
         )
 
+    for batch in batches:
+        for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+            grams = grams_of(word)
+            while part := list(itertools.islice(grams, _AT_HAND)):
+                for g in part:
+                    counts[lang, g] += n
+                if len(counts) > _AT_HAND:
+                    yield sent()
+        if counts:
+            yield sent()
+
 
 class Model:
     """Log frequencies of words and n-grams in each language."""

@@ -1,11 +1,12 @@
 """Operators that look at one document at a time, sharding, packing and the pipeline."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_pairs import ODD, docs, near_copies, prose, texts
@@ -185,6 +186,26 @@ def test_small_languages_are_learned_beside_large_ones(spark, monkeypatch):
     assert got == ["large", "small", "one", "small"]
 
 
+def test_grams_of_long_runs_are_counted_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    runs = ["".join(map(chr, rng.integers(0x4E00, 0x4E40, n))) for n in (3, 64, 65, 2000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["zh"] * 4, "word": runs, "n": [1, 2, 3, 4]})
+    want = Counter()
+    for run, n in zip(runs, [1, 2, 3, 4], strict=True):
+        marked = f"<{run}>"
+        for k in range(1, language_id.LONGEST + 1):
+            for i in range(len(marked) - k + 1):
+                want[marked[i : i + k]] += n
+    for most in (language_id._AT_HAND, 100):
+        monkeypatch.setattr(language_id, "_AT_HAND", most)
+        got = Counter()
+        for out in language_id._gram_counts(iter([batch])):
+            assert set(out["lang"].to_pylist()) == {"zh"}
+            for g, n in zip(out["word"].to_pylist(), out["n"].to_pylist(), strict=True):
+                got[g] += n
+        assert got == want
+
+
 def test_backoff_prefers_longer_grams():
     model = language_id.Model(
         [("a", "the", 9), ("b", "der", 9)],
