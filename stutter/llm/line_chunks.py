@@ -32,6 +32,7 @@ from .tokens import release
 ROLL = 2  # lines in the rolling hash
 EVERY = 3  # a chunk ends after one in so many lines
 LEAST = 2  # lines of a chunk that can be removed
+_TOGETHER = 10_000  # units sent on together
 _NEWLINE = 0x0A
 
 
@@ -88,6 +89,12 @@ def _rows(batch: pa.RecordBatch, column: str = "text"):
 def _hashed(units: Callable):
     """Two hashes of each unit of several lines."""
 
+    def sent(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 2), strict=True)],
+            ["doc_id", "row", "line", "h1", "h2"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -99,11 +106,11 @@ def _hashed(units: Callable):
                         d = hashlib.blake2b(chunk, digest_size=16).digest()
                         out.append((ids[i], rows[i], first, int.from_bytes(d[:8], "little", signed=True),
                                     int.from_bytes(d[8:], "little", signed=True)))
+                        if len(out) >= _TOGETHER:
+                            yield sent(out)
+                            out = []
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 2), strict=True)],
-                    ["doc_id", "row", "line", "h1", "h2"],
-                )
+                yield sent(out)
 
     return run
 
@@ -113,7 +120,7 @@ def _bytes_of(units: Callable):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, asked = (batch[c].to_pylist() for c in ("doc_id", "row", "asked"))
+            ids, rows, asked = batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["asked"]
             out, size = [], 0
 
             def flush():
@@ -123,7 +130,7 @@ def _bytes_of(units: Callable):
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
             for i, raw in _rows(batch):
-                want = {a["line"]: a for a in asked[i]}
+                want = {a["line"]: a for a in asked[i].as_py()}
                 for first, _, chunk in units(raw):
                     if first in want:
                         a = want[first]
