@@ -4,7 +4,7 @@ import random
 
 import model
 import pytest
-from conftest import expected, pieces, repeat_rows, sequences
+from helpers import expected, pieces, repeat_rows, sequences
 from pyspark.sql import functions as F
 
 from stutter import find_repeats, get_repeats, single_k_repeats

@@ -4,7 +4,7 @@ import random
 
 import model
 import pytest
-from conftest import expected, pieces, repeat_rows, sequences
+from helpers import expected, pieces, repeat_rows, sequences
 
 from stutter import find_repeats
 from stutter.functions.scan import Rule
