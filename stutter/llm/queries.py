@@ -8,11 +8,14 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stutter.operators.blocks import div
+
 from .decontamination import contamination
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .line_chunks import line_dedup
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -131,6 +134,53 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# crc32 of the digits of doc_id, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [j::BIGINT FOR j IN range(8)]), lambda x, j: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+@_query(f"""WITH v AS (SELECT doc_id, {_WORDS} AS v, {_CRC} AS h FROM documents),
+t AS (SELECT doc_id, v, len(v) AS n, h % 10 = 0 AND len(v) > 0 AS again, (h // 10) % greatest(len(v), 1) AS a, 3 + (h // 10) % 8 AS parts FROM v),
+d AS (SELECT doc_id, CASE WHEN again THEN list_concat(v[:a], [v[1 + a + j % (1 + (n - a) // parts)] FOR j IN range(n - a)]) ELSE v END AS w FROM t),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 15], ' ') AS g FROM d, unnest(range(1, len(w) - 14)) AS u(i)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+m AS (SELECT doc_id, min(i) - 1 AS start, count(*) + 15 + q AS length, q FROM k GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+             list(DISTINCT c) AS gone FROM r, unnest(range(start + period + 1, start + length + 1)) AS u(c) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+b AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period
+      OR y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))
+SELECT d.doc_id, coalesce(c.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+       (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(c.runs, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(gone, j)] END, ' '))
+         AS collapsed_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN b USING (doc_id)""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document in ten has its words from a place of its own on replaced by copies of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size("w"), div("h", 10)
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, split))
+    placed = docs.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    rest = n - F.col("a")
+    placed = placed.withColumn("p", (1 + div(rest, 3 + g % 8)).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", 1, F.col("a")), F.slice(again, 1, rest)), " ")
+    found = periodic_runs(placed.select("doc_id", F.when(F.col("p").isNull(), F.col("text")).otherwise(text).alias("text")))
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  the first of equals stays
+    best = F.aggregate("runs", F.get("runs", 0), lambda x, y: F.when(more(y, x), y).otherwise(x))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        div(1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -85,3 +85,23 @@ def top_k(rows, k=5, every=50):
         scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in ok if c != q)  # noqa: B905
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
+
+
+def runs(w, least, times):
+    """(start, length, period) of maximal runs, every period tried at every place."""
+    found = {}
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)  # smaller periods come first
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def collapsed(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return [x for i, x in enumerate(w) if i not in gone]
