@@ -18,6 +18,7 @@ from stutter.functions.scalars import match_count, midpoint, primitive_motif, un
 from stutter.functions.scan import Rule  # noqa: E402
 from stutter.operators import exact, intervals, relations, segments, tolerant  # noqa: E402
 from stutter.operators.blocks import number_rows, scratch  # noqa: E402
+from stutter.operators.linked import read_linked  # noqa: E402
 from stutter.sources import lines, sinks  # noqa: E402
 from stutter.sources.chunks import as_sequences, chunk_sequences  # noqa: E402
 from stutter.sources.tables import read_table  # noqa: E402
@@ -273,6 +274,12 @@ def mismatch_repeats(spark, sf_dir):
     return find_repeats(events(spark, sf_dir), [2, 3], miss=1, policy="separate")
 
 
+@query(o.reading([3, 2], miss=1, max_gap=1))
+def linked_repeats(spark, sf_dir):
+    """Ranges of 24 symbols that hand their reading state on, whatever the length of a run."""
+    return read_linked(events(spark, sf_dir), Rule((3, 2), miss=1, max_gap=1), 24, 20)
+
+
 @query(o.reading([1, 2, 3], max_gap=2, policy="separate"))
 def gapped_repeats(spark, sf_dir):
     return find_repeats(events(spark, sf_dir), [1, 2, 3], max_gap=2, policy="separate")

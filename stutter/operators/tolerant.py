@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from ..functions import scan
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, assemble, chunk_sequences
-from .blocks import div, durable, previous
+from .blocks import div, durable, join_few, previous
 from .exact import REPEAT_COLUMNS, REPEAT_SCHEMA, RowSpans, cut_spanning_repeats, slices
 from .intervals import merge_intervals, uncovered_intervals
+from .linked import read_linked
 from .resolve import cells_taken, read_whole, repeats_batch, spread_of
 
 _READ_SCHEMA = (
@@ -127,8 +128,14 @@ def _joined_ranges(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return durable(joined), gone
 
 
+_MOST_JOINED = 16  # ranges read again as one
+
+
 def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
-    """Repeats of long sequences, read in ranges of ``size`` that are checked against each other."""
+    """Repeats of long sequences, read in ranges of ``size`` that are checked against each other.
+
+    Under ``every_start`` each start of a run is a report of its own, and ranges are joined whatever their length.
+    """
     first = chunk_sequences(df, size, halo=context, left=context, spread=spread_of(df))
     start = F.col("chunk_start")
     ranges = first.select(
@@ -140,10 +147,17 @@ def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
     rounds = [durable(_read_ranges(ranges, rule, context))]
     edges = rounds[0].where("kind = 'range'").select(*columns, F.lit(0).alias("round"))
     base = chunk_sequences(df, size)
+    apart = []
     while True:
         joined, gone = _joined_ranges(edges, size)
         if joined.isEmpty():
             break
+        if not rule.every_start:
+            large = durable(joined.where(F.col("hi") - F.col("lo") > _MOST_JOINED * size).select("seq_id").distinct())
+            if not large.isEmpty():
+                apart.append(read_linked(join_few(df, large, "seq_id", "left_semi"), rule, size, context))
+                edges = durable(join_few(edges, large, "seq_id", "left_anti"))
+                joined, gone = (join_few(x, large, "seq_id", "left_anti") for x in (joined, gone))
         again = durable(_read_ranges(assemble(base, joined, size, context, context), rule, context))
         fresh = again.where("kind = 'range'").select(*columns, F.lit(len(rounds)).alias("round"))
         edges = durable(edges.join(gone, ["seq_id", "lo"], "left_anti").select(*columns, "round").unionByName(fresh))
@@ -154,7 +168,8 @@ def read_long(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
     # what counts is the last reading of each range
     every = reduce(DataFrame.unionByName, [f.withColumn("round", F.lit(i)) for i, f in enumerate(found)])
     last = edges.select("seq_id", "lo", "round")
-    return every.join(last, ["seq_id", "lo", "round"], "left_semi").select(*REPEAT_COLUMNS)
+    every = every.join(last, ["seq_id", "lo", "round"], "left_semi").select(*REPEAT_COLUMNS)
+    return reduce(DataFrame.unionByName, apart, every)
 
 
 def tolerant_repeats(
