@@ -141,3 +141,19 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> D
     return numbered.withColumn(out, F.col("_base") + F.col("_id") - F.col("_first")).drop(
         "_id", "_part", "_first", "_base"
     )
+
+
+def sum_before(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Replace ``value`` by its sum over the rows before, in a total ``order``.
+
+    A range sort deals the rows out; sums of its partitions, a row each, are carried over them.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = durable(placed)
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy("_part").agg(F.sum(value).alias("_sum")).select(
+        "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
+    )
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumn(value, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(parts), "_part").withColumn(value, F.col(value) + F.col("_base")).drop("_part", "_base")

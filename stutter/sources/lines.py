@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.blocks import div, number_rows
+from ..operators.blocks import div, number_rows, sum_before
 
 HEADER_MARK = ">"
 _BROADCAST_SPLITS = 1_000_000  # rows of about 150 bytes
 _SPLITS_PER_PARTITION = 32  # 128 MB partitions, files counted as at least 4 MB
 _LINES_PER_BLOCK = 1 << 16
+_BLOCKS_PER_GROUP = 1 << 12
+_FEW_SPLITS = 100_000  # rows whose counts are added up in one task
 
 
 def scan_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
@@ -50,11 +52,14 @@ def number_in_file_order(lines: DataFrame, out: str) -> DataFrame:
     split = ["file_path", "file_block_start"]
     placed = lines.withColumn("_id", F.monotonically_increasing_id())
     counts = placed.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)  # one row per split
-    starts = counts.select(
-        *split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
-    )
-    if lines.rdd.getNumPartitions() * _SPLITS_PER_PARTITION <= _BROADCAST_SPLITS:
+    splits = lines.rdd.getNumPartitions() * _SPLITS_PER_PARTITION
+    if splits <= _FEW_SPLITS:
+        before = W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)  # one row per split
+        starts = counts.withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        starts = sum_before(counts, split, "_n")
+    starts = starts.select(*split, (F.col("_n") - F.col("_first")).alias("_shift"))
+    if splits <= _BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     return placed.join(starts, split).withColumn(out, F.col("_id") + F.col("_shift")).drop(
         "_id", "_shift", *split
@@ -97,16 +102,51 @@ def name_lookup(sequences: DataFrame, names: DataFrame) -> DataFrame:
     return sequences.join(once, "seq_id", "left").select("seq_id", name.alias("seq_name"), "seq")
 
 
+def _before_each(ends: DataFrame, window) -> DataFrame:
+    """Add what the rows before each one in a window add up to, and the last record these leave open."""
+    past = window.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_chars0", F.coalesce(F.sum("_chars").over(past), F.lit(0))).withColumn(
+        "_heads0", F.coalesce(F.sum("_heads").over(past), F.lit(0))
+    )
+    ends = ends.withColumn("_left_open", _moved("_left_open", "_chars0"))
+    return ends.withColumn("_before", F.last("_left_open", ignorenulls=True).over(past))
+
+
+def _moved(record: str, by: str) -> Column:
+    """An open record ``(at, name)`` that begins further on."""
+    at = (F.col(f"{record}.at") + F.col(by)).alias("at")
+    return F.when(F.col(record).isNotNull(), F.struct(at, F.col(f"{record}.name").alias("name")))
+
+
+def _carried(ends: DataFrame, fan: int) -> DataFrame:
+    """``(_block, _chars0, _heads0, _before)``: what the blocks before each one hand on, in two levels."""
+    inner = _before_each(ends.withColumn("_group", div("_block", fan)), W.partitionBy("_group").orderBy("_block"))
+    groups = inner.groupBy("_group").agg(
+        F.sum("_chars").alias("_chars"), F.sum("_heads").alias("_heads"),
+        F.max_by("_left_open", F.when(F.col("_left_open").isNotNull(), F.col("_block"))).alias("_left_open"),
+    )
+    outer = _before_each(groups, W.orderBy("_group")).select(
+        "_group", F.col("_chars0").alias("_chars1"), F.col("_heads0").alias("_heads1"), F.col("_before").alias("_before1")
+    )
+    both = inner.join(F.broadcast(outer), "_group")  # a row for each 2^28 lines
+    return both.select(
+        "_block", (F.col("_chars0") + F.col("_chars1")).alias("_chars0"), (F.col("_heads0") + F.col("_heads1")).alias("_heads0"),
+        F.coalesce(_moved("_before", "_chars1"), F.col("_before1")).alias("_before"),
+    )
+
+
 def stitch_pieces(
     lines: DataFrame, by: str | None = "header", header: str = "prefix", mark: str = HEADER_MARK,
-    block: int = _LINES_PER_BLOCK,
+    block: int = _LINES_PER_BLOCK, fan: int = _BLOCKS_PER_GROUP,
 ) -> DataFrame:
     """Lines ``(line_no, value)`` as pieces of the sequence they belong to.
 
     ``by="header"`` begins a new sequence after each header line; ``by=None``
     drops the headers and makes one sequence of everything. The place of a line
     in its sequence is a running length, taken per block of lines and carried
-    from block to block, so one endless record is as good as many short ones.
+    from block to block, in groups of ``fan`` blocks and then over the groups, so
+    one endless record is as good as many short ones. One task sees a row for
+    each group of blocks, that is of 2^28 lines.
     Pieces are what ``chunk_sequences`` takes.
     """
     head = is_header(mode=header, mark=mark)
@@ -130,18 +170,7 @@ def stitch_pieces(
         F.max(F.col("_at") + size).alias("_chars"), F.max("_records").alias("_heads"),
         F.max_by("_open", "line_no").alias("_left_open"),
     )
-    past = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.withColumn("_chars0", F.coalesce(F.sum("_chars").over(past), F.lit(0))).withColumn(
-        "_heads0", F.coalesce(F.sum("_heads").over(past), F.lit(0))
-    )
-    still = F.when(
-        F.col("_left_open").isNotNull(),
-        F.struct((F.col("_left_open.at") + F.col("_chars0")).alias("at"), F.col("_left_open.name").alias("name")),
-    )
-    ends = ends.withColumn("_before", F.last(still, ignorenulls=True).over(past)).select(
-        "_block", "_chars0", "_heads0", "_before"
-    )
-    placed = inner.join(ends, "_block").where(~F.col("_head"))
+    placed = inner.join(_carried(ends, fan), "_block").where(~F.col("_head"))
     begin = F.coalesce(F.col("_open.at") + F.col("_chars0"), F.col("_before.at"), F.lit(0))
     name = F.coalesce(F.col("_open.name"), F.col("_before.name"), F.lit("seq0"))
     number = F.col("_records") + F.col("_heads0") - 1 if by == "header" else F.lit(0).cast("long")

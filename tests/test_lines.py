@@ -19,7 +19,9 @@ def write(tmp_path, files):
     return str(tmp_path)
 
 
-def test_read_lines_over_files_and_splits(spark, tmp_path):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_read_lines_over_files_and_splits(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(lines, "_FEW_SPLITS", few)
     rows = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
     folder = write(tmp_path, {"a.txt": rows[:100], "b.txt": rows[100:3000], "c.txt": rows[3000:]})
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -46,15 +48,15 @@ def test_headers_and_ordinals(spark, tmp_path):
         lines.is_header("other")
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_stitch(spark, block):
+@pytest.mark.parametrize("block,fan", [(1, 2), (1, 3), (3, 4), (1000, 4096)])
+def test_stitch(spark, block, fan):
     df = spark.createDataFrame(list(enumerate(["stray"] + FASTA)), "line_no long, value string")
-    got = chunk_sequences(lines.stitch_pieces(df, block=block), 1000).collect()
+    got = chunk_sequences(lines.stitch_pieces(df, block=block, fan=fan), 1000).collect()
     assert {r.seq_id: (r.seq_name, r.chunk) for r in got} == {
         -1: ("seq0", "stray"), 0: (">one", "acacacacxx"), 2: (">three", "ggggab>babababab"),
     }
     glued = "stray" + "".join(v for v in FASTA if not v.startswith(">"))
-    parts = chunk_sequences(lines.stitch_pieces(df, by=None, block=block), 4).orderBy("chunk_id").collect()
+    parts = chunk_sequences(lines.stitch_pieces(df, by=None, block=block, fan=fan), 4).orderBy("chunk_id").collect()
     assert [r.chunk for r in parts] == [glued[i : i + 4] for i in range(0, len(glued), 4)]
 
 
