@@ -8,12 +8,14 @@ down to one, which score the same way; borders of words count as characters.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ class _Scorer:
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        scorer = _Scorer(shared.value)
+        scorer = _Scorer(pickle.loads(shared.value))
         for batch in batches:
             for lo, hi in slices(batch["text"], _TOGETHER):
                 part = batch.slice(lo, hi - lo)
@@ -229,7 +231,7 @@ def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``rest`` (the other columns as a struct), ``text``, ``lang_pred``, ``score`` and ``letter`` (has one) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS rows of one number per language
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code; at most WORDS + GRAMS rows of one number per language
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
