@@ -77,12 +77,16 @@ def contaminated(text, items):
 
 def top_k(rows, k=5, every=50):
     import math
+    from fractions import Fraction
 
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+    ok = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows
           if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in {(i, tuple(v)) for i, v in ok if i % every == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in ok if c != q)  # noqa: B905
+    for own, (q, v) in enumerate(ok):
+        if q % every or (q, v) in ok[:own]:
+            continue
+        scores = [(sum(a * b for a, b in zip(v, w)), c) for at, (c, w) in enumerate(ok) if at != own]  # noqa: B905
+        scores = sorted((-max(-(2**63), min(2**63 - 1, s)), c) for s, c in scores)
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 

@@ -249,7 +249,14 @@ def test_top_k(spark):
     for size in (topk.CANDIDATES, 40):
         assert sorted(tuple(r) for r in topk.top_k(df, candidates=size).collect()) == brute.top_k(rows)
     assert topk.top_k(df.where("vec_id is null")).count() == 0
-    few = [(0, [1.0]), (1, [2.0]), (50, [1e13, 1.0])]
-    small = spark.createDataFrame(few, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in topk.top_k(small).collect())
-    assert got == brute.top_k(few)
+
+
+@pytest.mark.parametrize("few", [
+    [(0, [1.0]), (1, [2.0]), (50, [1e13, 1.0])],
+    [(0, [94906267.0, 1.0]), (1, [94906267.0, 0.0]), (2, [94906267.0, 1.0]), (3, [-94906267.0, 2.5])],
+    [(0, [1e30, 1.0]), (1, [1e30, 3.0]), (2, [-1e30, 3.0]), (3, [1.0, 1.0]), (50, [1e308, -1e308])],
+    [(0, [1.5, 2.0])] * 9 + [(0, [3.5, 2.0])] * 2 + [(4, [1.5, 2.0])],  # equal rows, and one id with two vectors
+])
+def test_top_k_of_large_numbers_and_equal_rows(spark, few):
+    small = spark.createDataFrame(few, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(small).collect()) == brute.top_k(few)
