@@ -12,6 +12,7 @@ import base64
 import itertools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -88,12 +89,17 @@ def encode(name: str, strings: list[bytes]) -> list[list[int]]:
     return out
 
 
+def is_plain(text: bytes) -> bool:
+    """Whether the rank file gives the tokens: characters of ``_PLAIN`` only and no special tokens."""
+    return not text.translate(None, _PLAIN) and b"<|" not in text
+
+
 def encode_plain(name: str, strings: list[bytes]) -> list[list[int]]:
-    """:func:`encode`; strings of plain characters and without special tokens go by the rank file."""
+    """:func:`encode`; plain strings go by the rank file."""
     fast = _ranks(name)
     if fast is None:
         return encode(name, strings)
-    plain = [not s.translate(None, _PLAIN) and b"<|" not in s for s in strings]
+    plain = [is_plain(s) for s in strings]
     slow = iter(encode(name, [s for s, p in zip(strings, plain, strict=True) if not p]))
     return [fast.encode_ordinary(s.decode()) if p else next(slow) for s, p in zip(strings, plain, strict=True)]
 
@@ -179,8 +185,39 @@ class Encoder:
         rest = [b" " + p for p in rest]
         return [first, *rest] if first else rest
 
+    @staticmethod
+    def parts(text: bytes) -> Iterator[bytes]:
+        """A long text in parts of about ``_BATCH`` bytes, cut where it is safe."""
+        lo = 0
+        while len(text) - lo > _BATCH and (at := _CUT.search(text, lo + _BATCH)):
+            yield text[lo : at.start()]
+            lo = at.start()
+        yield text[lo:]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and how many each has."""
+        """Ids of all texts, end to end, and how many each has.
+
+        Plain texts are encoded whole, which is faster than looking up their
+        words; the memory serves the others.
+        """
+        fast = _ranks(self.name)
+        plain = np.array([fast is not None and is_plain(t) for t in texts], bool)
+        others = [t for t, p in zip(texts, plain.tolist(), strict=True) if not p]
+        flat, sizes = self._by_pieces(others) if others else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(others) == len(texts):
+            return flat, sizes
+        ends, at, out, counts = np.cumsum(sizes), 0, [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if plain[i]:
+                got = [np.array(fast.encode_ordinary(part.decode()), np.uint32) for part in self.parts(text)]
+            else:
+                got = [flat[ends[at] - sizes[at] : ends[at]]]
+                at += 1
+            out += got
+            counts[i] = sum(map(len, got))
+        return np.concatenate(out), counts
+
+    def _by_pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         pieces = [self.cut(t) for t in texts]
         stay = self.memory.forget()
         if stay is not None:
