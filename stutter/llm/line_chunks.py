@@ -1,18 +1,19 @@
-"""Line dedup: lines removed where an earlier place has the same bytes.
-
-Whole: every two neighbouring lines are a unit. A line lies in a run of two
-lines or more that an earlier place has exactly if the unit that begins or the
-one that ends with it is there, so the units find all repeated runs, whole,
-however short and whatever lines are around them.
-
-Chunks: the units are content-defined chunks. Lines are hashed; a rolling hash
-over the last two line hashes ends a chunk where it falls in a fixed class, so
-boundaries depend on the lines around them only and find their place again
-after lines are put in or taken out. Fewer units, but most repeated runs of few
-lines hold no chunk and stay.
-
-Either way units of several lines that occur more than once are compared byte
-by byte with the first one; only then are they removed.
+"""Line dedup: runs of lines removed where an earlier place has the same bytes.
+
+Content-defined chunks. Lines are hashed, and a rolling hash over two line
+hashes ends a chunk where it is smaller than at both neighbouring places, so
+borders depend on the lines around them only and find their place again after
+lines are put in or taken out. No chunk has fewer than two lines, unless the
+text has; equal lines in a row have equal rolling hashes, thus no border among
+them. Chunks that occur more than once are compared byte by byte with the first
+one; only then are they removed.
+
+What is left is completed: a repeated run goes on beyond the borders of its
+chunks, and one of a few lines may hold no chunk. Every two neighbouring lines
+that no removed chunk holds are looked up in the same way, which extends hits
+line by line in both directions and finds the short runs. A line lies in a run
+of two lines or more that an earlier place has exactly if the pair that begins
+or the one that ends with it is there.
 """
 
 from __future__ import annotations
@@ -26,25 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_few, written
-from .text import SLICE, Windows, mix, slices, texts
+from .text import SLICE, Windows, slices, texts
 from .tokens import release
 
 ROLL = 2  # lines in the rolling hash
-EVERY = 3  # a chunk ends after one in so many lines
-LEAST = 2  # lines of a chunk that can be removed
+LEAST = 2  # lines of a chunk, at least
 _TOGETHER = 10_000  # units sent on together
 _NEWLINE = 0x0A
 
 
-def chunk_bounds(lines: list[bytes], roll: int = ROLL, every: int = EVERY) -> list[int]:
+def chunk_bounds(lines: list[bytes]) -> list[int]:
     """First line of each chunk, and the number of lines."""
-    if not lines:
-        return [0]
-    h = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines], np.uint64)
     n = len(lines)
-    rolled = mix(h) if n < roll else Windows(h).at(np.arange(n - roll + 1), roll)
-    ends = np.flatnonzero(rolled % np.uint64(every) == 0) + (roll if n >= roll else 1)
-    return [0, *[int(e) for e in ends if e < n], n]
+    if n < 2 * LEAST:
+        return [0, n] if n else [0]
+    h = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines], np.uint64)
+    rolled = Windows(h).at(np.arange(n - ROLL + 1), ROLL)
+    least = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 1
+    return [0, *(least + 1).tolist(), n]  # between the two lines
 
 
 def _chunks(text: str | bytes | None) -> list[tuple[int, int, bytes]]:
@@ -87,7 +87,7 @@ def _rows(batch: pa.RecordBatch, column: str = "text"):
 
 
 def _hashed(units: Callable):
-    """Two hashes of each unit of several lines."""
+    """Two hashes of each unit of several lines, but those that begin at a line in ``known``."""
 
     def sent(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -98,11 +98,12 @@ def _hashed(units: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            ids, rows = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
+            ids, rows, known = (batch[c].to_pylist() for c in ("doc_id", "row", "known"))
             out = []
             for i, raw in _rows(batch):
+                settled = set(known[i] or ())
                 for first, n, chunk in units(raw):
-                    if n >= LEAST and chunk.strip():
+                    if n >= LEAST and first not in settled and chunk.strip():
                         d = hashlib.blake2b(chunk, digest_size=16).digest()
                         out.append((ids[i], rows[i], first, int.from_bytes(d[:8], "little", signed=True),
                                     int.from_bytes(d[8:], "little", signed=True)))
@@ -125,16 +126,16 @@ def _bytes_of(units: Callable):
 
             def flush():
                 columns = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                names = ["doc_id", "row", "line", "h1", "h2", "is_first", "bytes"]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+                names = ["doc_id", "row", "line", "h1", "h2", "is_first", "lines", "bytes"]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
             for i, raw in _rows(batch):
                 want = {a["line"]: a for a in asked[i].as_py()}
-                for first, _, chunk in units(raw):
+                for first, n, chunk in units(raw):
                     if first in want:
                         a = want[first]
-                        out.append((ids[i], rows[i], first, a["h1"], a["h2"], a["is_first"], chunk))
+                        out.append((ids[i], rows[i], first, a["h1"], a["h2"], a["is_first"], n, chunk))
                         size += len(chunk)
                         if size > SLICE:
                             yield flush()
@@ -182,8 +183,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whol
 
     With ``whole`` every run of two lines or more is removed that an earlier
     document holds, or an earlier place of the same one that it does not
-    overlap; ``n_chunks_removed`` counts the stretches cut out. Without it, only
-    what makes up a chunk here and there is, which leaves most short runs.
+    overlap: repeated chunks, then what is repeated around and between them;
+    ``n_chunks_removed`` counts the stretches cut out. Without it, only
+    repeated chunks are removed, which leaves most short runs.
     Order is by doc_id, text and line, so one of several equal rows with one
     doc_id keeps nothing less than the others. Runs of white space only stay,
     and lines of white space at the end of a run may, beyond the first. Lines end at "\\n" and keep
@@ -203,31 +205,49 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ])
 
 
-def _deduped(docs: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
-    units, without = (_pairs, _without) if whole else (_chunks, _without_chunks)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("all"), F.col(text).alias("text"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("row"),
-    )
+def _repeated(rows: DataFrame, units: Callable) -> DataFrame:
+    """``(doc_id, row, line, lines)`` of the units that an earlier place has, byte by byte.
+
+    ``rows`` have the starts ``known`` of units that need not be asked for.
+    """
     keys = ["doc_id", "row"]
-    chunks = rows.select(*keys, "text").mapInArrow(_hashed(units), "doc_id long, row long, line int, h1 long, h2 long")
+    hashed = rows.select(*keys, "text", "known").mapInArrow(_hashed(units), "doc_id long, row long, line int, h1 long, h2 long")
     place = F.struct("doc_id", "row", "line")
-    firsts = chunks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = written(firsts)
-    found = with_few(chunks, firsts, ["h1", "h2"], size=F.lit(32))
+    found = with_few(hashed, firsts, ["h1", "h2"], size=F.lit(32))
     overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (
         F.col("line") > F.col("first.line")) & (F.col("line") < F.col("first.line") + LEAST)
     found = found.where(~overlaps).select(*keys, "line", "h1", "h2", (place == F.col("first")).alias("is_first")).distinct()
     asked = written(found.groupBy(*keys).agg(F.collect_list(F.struct("line", "h1", "h2", "is_first")).alias("asked")))
     text_of = with_few(rows.select(*keys, "text"), asked, keys, size=32 * F.size("asked"))
     pieces = written(text_of.select(*keys, "text", "asked").mapInArrow(
-        _bytes_of(units), "doc_id long, row long, line int, h1 long, h2 long, is_first boolean, bytes binary"
+        _bytes_of(units), "doc_id long, row long, line int, h1 long, h2 long, is_first boolean, lines int, bytes binary"
     ))
-    first = pieces.where("is_first").groupBy("h1", "h2").agg(F.first("bytes").alias("same"))
+    # written, so that Spark can split the copies of a very common unit among tasks
+    first = written(pieces.where("is_first").groupBy("h1", "h2").agg(F.first("bytes").alias("same")))
     later = pieces.where("not is_first").join(first.hint("merge"), ["h1", "h2"]).where("bytes = same")
-    gone = written(later.groupBy(*keys).agg(F.collect_set("line").alias("gone")))
+    return written(later.select(*keys, "line", "lines"))
+
+
+def _deduped(docs: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("all"), F.col(text).alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text).alias("row"),
+    )
+    keys = ["doc_id", "row"]
+    none = F.lit(None).cast("array<int>").alias("known")
+    gone = _repeated(rows.select(*keys, "text", none), _chunks)
+    if whole:
+        # from here on by pairs of lines; those inside of removed chunks are settled
+        pairs = gone.select(*keys, F.explode(F.sequence(F.col("line"), F.col("line") + F.col("lines") - 2)).alias("line"))
+        known = written(pairs.groupBy(*keys).agg(F.collect_set("line").alias("known")))
+        left = with_few(rows.select(*keys, "text"), known, keys, "left", 8 * F.size("known"))
+        gone = pairs.unionByName(_repeated(left, _pairs).select(*keys, "line"))
+    gone = written(gone.groupBy(*keys).agg(F.collect_set("line").alias("gone")))
     out = with_few(rows, gone, keys, "left", 8 * F.size("gone"))
     kind = rows.schema["all"].dataType.simpleString()
     return out.select("all", "text", "gone").mapInArrow(
-        _kept(without), f"all {kind}, n_lines long, n_removed long, n_chunks_removed long, kept_sha256 string, kept_text string"
+        _kept(_without if whole else _without_chunks),
+        f"all {kind}, n_lines long, n_removed long, n_chunks_removed long, kept_sha256 string, kept_text string",
     )
