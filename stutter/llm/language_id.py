@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .text import slices
-from .tokens import release
+from .tokens import release, trim
 
 LABELLED = 20_000  # labelled documents learned from, about; chosen by a hash in each language
 WORDS, GRAMS = 50_000, 50_000  # words and n-grams in the model, the most frequent ones of each language
@@ -177,6 +177,8 @@ def _predicted(shared):
                      pa.array([g[2] for g in got], pa.bool_())],
                     ["rest", "text", "lang_pred", "score", "letter"],
                 )
+        del scorer
+        trim()
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 from .text import slices, texts
-from .tokens import encoder
+from .tokens import encoder, trim
 
 LENGTH = 2048
 GROUP = 8192  # documents packed together, about
@@ -47,6 +47,7 @@ def _encoded(name: str, length: int):
                     [batch["doc_id"].slice(lo, hi - lo), pa.array(n + 1), pa.array(crcs, pa.list_(pa.int64()))],
                     ["doc_id", "doc_tokens", "crcs"],
                 )
+        trim()
 
     return run
 

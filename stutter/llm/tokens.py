@@ -9,6 +9,8 @@ a task; when it is full, the strings used least are forgotten.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import itertools
 import os
 import re
@@ -35,10 +37,19 @@ def _once(key: tuple, make):
     return kept[key]
 
 
+def trim() -> None:
+    """Hand memory that is free in this process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def release() -> None:
     """Drop what an earlier operator keeps in this Python process."""
     public_tokenizers.__dict__.pop("_made_once", None)
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def tokenizer(name: str):
