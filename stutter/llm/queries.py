@@ -81,13 +81,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-_TOKENS = r"[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> '']"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_TOKENS = (rf"[x FOR x IN regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '{_UNSPACED}', ' \1 ', 'g'), "
+           r"'[^\p{L}\p{N}]+') IF x <> '']")
 _FOUR = "SELECT {id}, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM {t}, unnest(range(1, len(w) - 2)) AS u(i)"
 
 
-# an allowed overlap has four equal tokens in a row somewhere
+# an allowed overlap has four equal tokens in a row somewhere; items of fewer than eight tokens are held whole
 @_query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) >= 8),
+a AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark)),
+b AS (SELECT * FROM a WHERE len(w) >= 8),
 h AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS shift
       FROM ({_FOUR.format(id='doc_id', t='d')}) x JOIN ({_FOUR.format(id='item_id', t='b')}) y USING (g)),
 s AS (SELECT doc_id, item_id, shift, p, least(13, len(b.w)) AS size, len(b.w) AS n,
@@ -97,7 +100,10 @@ o AS (SELECT x.doc_id, x.item_id FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.
         AND y.p BETWEEN x.p AND x.p + x.size - 1
       WHERE x.p <= x.n - x.size + 1 GROUP BY x.doc_id, x.item_id, x.shift, x.p, x.size
       HAVING sum(y.same) >= x.size - CASE WHEN x.size = 13 THEN 2 ELSE 1 END),
-i AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids FROM o GROUP BY doc_id)
+z AS (SELECT x.doc_id, y.item_id FROM (SELECT doc_id, i, w[i] AS g FROM d, unnest(range(1, len(w) + 1)) AS u(i)) x
+      JOIN (SELECT * FROM a WHERE len(w) BETWEEN 1 AND 7) y ON x.g = y.w[1] JOIN d USING (doc_id) WHERE d.w[x.i:x.i + len(y.w) - 1] = y.w),
+i AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids
+      FROM (SELECT doc_id, item_id FROM o UNION ALL SELECT doc_id, item_id FROM z) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_tokens, item_ids IS NOT NULL AS contaminated, item_ids FROM d LEFT JOIN i USING (doc_id)""")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

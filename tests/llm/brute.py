@@ -55,7 +55,8 @@ def jaccard_components(rows):
 def tokens(text):
     import regex
 
-    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    alone = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"  # a character is a token
+    return regex.findall(rf"(?=[{alone}])[\p{{L}}\p{{N}}]|(?:(?![{alone}])[\p{{L}}\p{{N}}])+", (text or "").lower())
 
 
 def contaminated(text, items):
@@ -64,10 +65,10 @@ def contaminated(text, items):
     found = set()
     for item, body in items:
         b = tokens(body)
-        if len(b) < 8:
+        if not b:
             continue
         size = min(13, len(b))
-        allowed = 2 if len(b) >= 13 else 1
+        allowed = 2 if len(b) >= 13 else 1 if len(b) >= 8 else 0
         for i in range(len(t) - size + 1):
             for j in range(len(b) - size + 1):
                 if sum(x != y for x, y in zip(t[i : i + size], b[j : j + size], strict=True)) <= allowed:

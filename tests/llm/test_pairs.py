@@ -138,11 +138,18 @@ def test_contamination(spark, monkeypatch, few):
             rows.append((400 + 10 * i + k, " ".join(prose(rng, 30)) + " -- " + ", ".join(w) + "!"))
     rows.append((500, items[0][1][20:]))
     rows.append((400, "the id again"))
+    items += [(20, "Solitary"), (21, "two of"), (22, "機械学習の試験問題です"), (23, "漢字"), (24, "ข้อสอบ"), (25, "一二三四五六七八九十百千万"), (26, "--")]
+    rows += [(600 + i, t) for i, t in enumerate((
+        "a solitary one, solitary", "of two", "one, two OF them", "two. of", "序文機械学習の試験問題です。終", "機械学習の模験問題です", "漢", "x漢字x",
+        "ไทย ข้อสอบ", "零一二三X五六七八九十百千万", "一二X四X六X八九十百千万", "two  -- ", "solitar", "two " * 300 + "of " * 300,
+    ))]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
     got = decontamination.contamination(docs(spark, rows), bench).collect()
     want = [(d, len(brute.tokens(t)), brute.contaminated(t, items)) for d, t in rows]
     assert sorted(((r.doc_id, r.n_tokens, r.item_ids or []) for r in got), key=repr) == sorted(want, key=repr)
     assert all(r.contaminated == bool(r.item_ids) for r in got)
+    first = {r.doc_id: [tuple(o) for o in r.overlaps] for r in got if r.doc_id in (600, 613)}
+    assert first == {600: [(20, 1, 2)], 613: [(21, 299, 301)]}
     kept = decontamination.decontaminated(docs(spark, rows), bench)
     assert kept.columns == docs(spark, rows).columns
     assert kept.count() == sum(not w[2] for w in want)
