@@ -24,7 +24,7 @@ from .text import slices
 from .tokens import release, trim
 
 LABELLED = 20_000  # labelled documents learned from, about; chosen by a hash in each language
-WORDS, GRAMS = 50_000, 50_000  # words and n-grams in the model, the most frequent ones of each language
+RAREST = 1_000_000  # a word (n-gram) is learned if it is one in so many of some language, or more, and seen twice
 LONGEST = 4  # characters of an n-gram
 UNKNOWN = "und"
 _PLACES = 1 << 30  # of rows by their hash
@@ -90,7 +90,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Log frequencies of words and n-grams in each language, and last a mark of what speaks for a language at all.
+
+    Known words do, and n-grams of two letters or more.
+    """
 
     def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], totals: dict[str, int]):
         self.langs = sorted(totals)
@@ -105,16 +108,21 @@ class Model:
             scores = np.log(counts + _SMOOTH) - np.log(all_ + _SMOOTH * max(1, len(names)))
             return names, scores.astype(np.float32)
 
-        self.words, self.word_scores = table(words, all_words)
+        def marked(names, scores, marks):
+            return names, np.column_stack([scores, np.array(marks, np.float32).reshape(len(names))])
+
+        known, scores = table(words, all_words)
+        self.words, self.word_scores = marked(known, scores, [1] * len(known))
         of_lang = np.zeros(len(self.langs))
         for lang, _, n in grams:
             of_lang[at[lang]] += n
-        self.grams, self.gram_scores = table(grams, of_lang)
+        known, scores = table(grams, of_lang)
+        self.grams, self.gram_scores = marked(known, scores, [len(g.strip("<>")) > 1 for g in known])
 
     def backoff(self, word: str) -> np.ndarray:
         """Scores of a word that is not known."""
         marked, i = f"<{word}>", 0
-        score = np.zeros(len(self.langs), np.float32)
+        score = np.zeros(len(self.langs) + 1, np.float32)
         while i < len(marked):
             for n in range(LONGEST, 0, -1):
                 g = self.grams.get(marked[i : i + n])
@@ -134,10 +142,10 @@ class _Scorer:
 
     def _clear(self) -> None:
         self.index = dict(self.model.words)
-        self.table = np.concatenate([self.model.word_scores, np.zeros((1024, len(self.model.langs)), np.float32)])
+        self.table = np.concatenate([self.model.word_scores, np.zeros((1024, len(self.model.langs) + 1), np.float32)])
 
     def scores(self, texts: list[str | None]):
-        """Language and score of each text, and whether it has a letter."""
+        """Language and score of each text, and whether the language can be told."""
         model = self.model
         if len(self.index) > len(model.words) + _REMEMBERED:
             self._clear()
@@ -147,7 +155,7 @@ class _Scorer:
             if not model.langs or not letter:
                 yield UNKNOWN, 0.0, letter
                 continue
-            total = np.zeros(len(model.langs))
+            total = np.zeros(len(model.langs) + 1)
             for lo in range(0, len(words), 1 << 16):
                 part = words[lo : lo + (1 << 16)]
                 for w in part:
@@ -160,8 +168,9 @@ class _Scorer:
                 total += self.table[at].sum(axis=0, dtype=np.float64)
                 if len(self.index) > len(model.words) + 4 * _REMEMBERED:  # one text of very many new words
                     self._clear()
+            *total, known = total
             best = int(np.argmax(total))
-            yield model.langs[best], float(1 / np.exp(total - total[best]).sum()), True
+            yield model.langs[best], float(1 / np.exp(np.array(total) - total[best]).sum()), known > 0
 
 
 def _predicted(shared):
@@ -175,7 +184,7 @@ def _predicted(shared):
                 yield pa.RecordBatch.from_arrays(
                     [part["rest"], part["text"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                      pa.array([g[2] for g in got], pa.bool_())],
-                    ["rest", "text", "lang_pred", "score", "letter"],
+                    ["rest", "text", "lang_pred", "score", "told"],
                 )
         del scorer
         trim()
@@ -197,8 +206,9 @@ def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
 
     Each language has the same share of ``most``; one with fewer rows is taken
     whole, and what it leaves goes to the others. At least the row with the
-    smallest hash of each language is taken. Words and n-grams are ranked in
-    each language, and those with the best rank in any language make the model.
+    smallest hash of each language is taken. Words make the model that are seen
+    twice and are one in ``RAREST`` of the words of some language or more, and
+    n-grams likewise, so no language can bring more than ``RAREST`` of them.
     """
     spark = labelled.sparkSession
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PLACES))
@@ -212,32 +222,25 @@ def learn(labelled: DataFrame, most: int = LABELLED) -> Model:
     counts = written(found.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
 
-    def most_frequent(df: DataFrame, limit: int) -> list[tuple[str, str, int]]:
-        several = written(df.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1"))
-        if several.count() > limit:  # a word's rank: how many are more frequent, and a hashed place among its equals
-            same = df.groupBy("lang", "n").count().collect()  # frequencies that occur, about the root of the words read
-            above, before = [], Counter()
-            for r in sorted(same, key=lambda r: (r["lang"], -r["n"])):
-                above.append((r["lang"], r["n"], before[r["lang"]], r["count"]))
-                before[r["lang"]] += r["count"]
-            above = F.broadcast(spark.createDataFrame(above, "lang string, n long, above long, equal long"))
-            among = F.pmod(F.xxhash64("word"), F.lit(_PLACES)) / _PLACES
-            best = df.join(above, ["lang", "n"]).groupBy("word").agg(F.min(F.col("above") + F.col("equal") * among).alias("best"))
-            several = best.join(several, "word").orderBy("best", F.desc("all"), "word").limit(limit)
-        return [(r.lang, r.word, r.n) for r in df.join(F.broadcast(several.select("word")), "word").select("lang", "word", "n").collect()]
+    def frequent(df: DataFrame) -> list[tuple[str, str, int]]:
+        of_lang = F.broadcast(df.groupBy("lang").agg(F.sum("n").alias("total")))  # a row per language
+        often = F.max(F.col("n") * RAREST >= F.col("total"))
+        several = df.join(of_lang, "lang").groupBy("word").agg(F.sum("n").alias("all"), often.alias("often"))
+        several = several.where("all > 1 and often").select("word")
+        return [(r.lang, r.word, r.n) for r in df.join(several, "word").select("lang", "word", "n").collect()]
 
     grams = counts.mapInArrow(_gram_counts, "lang string, word string, n long")
     grams = written(grams.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    return Model(most_frequent(counts, WORDS), most_frequent(grams, GRAMS), totals)
+    return Model(frequent(counts), frequent(grams), totals)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``rest`` (the other columns as a struct), ``text``, ``lang_pred``, ``score`` and ``letter`` (has one) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code; at most WORDS + GRAMS rows of one number per language
+    """``rest`` (the other columns as a struct), ``text``, ``lang_pred``, ``score`` and ``told`` (something speaks for it) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code; at most 2 * RAREST rows a language
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(shared), f"rest {kind}, text string, lang_pred string, score double, letter boolean")
+    return rows.mapInArrow(_predicted(shared), f"rest {kind}, text string, lang_pred string, score double, told boolean")
 
 
 def _third(doc_id: str):
@@ -268,13 +271,21 @@ def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     return learn(labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")), most)
 
 
-def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LABELLED) -> DataFrame:
-    """``docs`` with all its columns, without texts of no language: null ones and those without a letter.
+def identified(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LABELLED, guesses: bool = True
+) -> DataFrame:
+    """``docs`` with all its columns, without texts of no language; a null ``lang`` is filled in where it can be told.
 
-    Where no language was learned nothing is known of any text, and the same go.
+    Null texts and those without a letter go. A text without any known word or
+    known n-gram of two letters would be a guess: it stays, so that clean texts of
+    languages without labels are not lost, but its ``lang`` is not filled in;
+    without ``guesses`` it goes too. Where no language was learned nothing is known
+    of any text, only null texts and those without a letter go, and ``lang`` is as
+    it was. A ``lang`` that is there is never changed. Equal rows get equal results.
     """
     model = learn_from(docs, doc_id, text, lang, most)
     out = predict(docs, model, text)
-    return out.where(F.col("lang_pred") != UNKNOWN if model.langs else F.col("letter")).select(*[
-        (F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in docs.columns
-    ])
+    out = out.where(F.col("told") | (F.col("lang_pred") != UNKNOWN) if guesses else F.col("told"))
+    predicted = F.when(F.col("told") & (F.col("lang_pred") != UNKNOWN), F.col("lang_pred"))
+    filled = {lang: F.coalesce(F.col("rest")[lang], predicted)}
+    return out.select(*[(F.col("text") if c == text else filled.get(c, F.col("rest")[c])).alias(c) for c in docs.columns])

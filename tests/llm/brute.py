@@ -76,6 +76,61 @@ def contaminated(text, items):
     return sorted(found)
 
 
+def languages(taught, texts, rarest):
+    """Language, score and margin (in log units) of each text; learned from all of ``taught``, (text, language)."""
+    import math
+    from collections import Counter
+
+    runs = re.compile(r"[^\W\d_]+")
+    langs = sorted({la for _, la in taught})
+    words, grams = {la: Counter() for la in langs}, {la: Counter() for la in langs}
+    for text, la in taught:
+        for w in runs.findall(text.lower()):
+            words[la][w] += 1
+            m = f"<{w}>"
+            grams[la].update(m[i : i + n] for n in (1, 2, 3, 4) for i in range(len(m) - n + 1))
+
+    def scored(counts, totals):
+        known = {
+            x for la in langs for x, n in counts[la].items()
+            if sum(counts[o][x] for o in langs) > 1 and any(counts[o][x] * rarest >= sum(counts[o].values()) for o in langs)
+        }
+        if totals is None:
+            totals = {la: sum(n for x, n in counts[la].items() if x in known) for la in langs}
+        return {
+            x: [math.log(counts[la][x] + 0.5) - math.log(totals[la] + 0.5 * max(1, len(known))) for la in langs] for x in known
+        }
+
+    by_word = scored(words, {la: sum(words[la].values()) for la in langs})
+    by_gram = scored(grams, None)
+
+    def of(w):
+        if w in by_word:
+            return by_word[w]
+        total, m = [0.0] * len(langs), f"<{w}>"
+        while m:
+            n = next((n for n in (4, 3, 2, 1) if m[:n] in by_gram), 0)
+            if n:
+                total = [a + b for a, b in zip(total, by_gram[m[:n]], strict=True)]
+            m = m[max(1, n):]
+        return total
+
+    out, memory = [], {}
+    for text in texts:
+        found = runs.findall((text or "").lower())
+        if not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0, math.inf))
+            continue
+        total = [0.0] * len(langs)
+        for w in found:
+            if w not in memory:
+                memory[w] = of(w)
+            total = [a + b for a, b in zip(total, memory[w], strict=True)]
+        top = sorted(total, reverse=True)
+        out.append((langs[total.index(top[0])], 1 / sum(math.exp(x - top[0]) for x in total), (top + [-math.inf])[0] - (top + [-math.inf])[1]))
+    return out
+
+
 def top_k(rows, k=5, every=50):
     import math
     from fractions import Fraction

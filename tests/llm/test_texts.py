@@ -155,6 +155,31 @@ def test_language_id(spark):
     kept = language_id.identified(rows.unionByName(odd))
     assert kept.columns == ["doc_id", "text", "lang", "words"]
     assert kept.count() == sum(r.lang_pred != "und" for r in got)
+    kept = kept.collect()
+    given = {(r.doc_id, r.text): r.lang for r in table.where("lang is not null and text is not null").collect()}
+    assert len(set(given.values())) == 4 and set(given) <= {(r.doc_id, r.text) for r in kept}  # clean texts of each language
+    pred = {(r.doc_id, r.lang_pred) for r in got}
+    filled = [r for r in kept if (r.doc_id, r.text) not in given and r.doc_id != 602]
+    assert filled and all(r.lang is None or (r.doc_id, r.lang) in pred for r in filled) and any(r.lang == "de" for r in filled if r.doc_id == 603)
+    assert all(r.lang == given[r.doc_id, r.text] for r in kept if (r.doc_id, r.text) in given)
+    assert [r.lang for r in kept if r.doc_id == 602] == [None]  # nothing is known of 日本
+    sure = language_id.identified(rows.unionByName(odd), guesses=False).collect()
+    assert 602 not in {r.doc_id for r in sure} and set(given) <= {(r.doc_id, r.text) for r in sure}
+
+
+@pytest.mark.parametrize("rarest", [language_id.RAREST, 200])
+def test_languages_as_scored_by_hand(spark, monkeypatch, rarest):
+    monkeypatch.setattr(language_id, "RAREST", rarest)
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in table.collect()] + [(9001, "ünder thé straße", None), (9002, "日本 the", None), (9003, "qx" * 3000, None)]
+    taught = [(t, la) for d, t, la in rows if la is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    got = language_id.language_id(spark.createDataFrame(rows, table.schema)).collect()
+    want = dict(zip([r[0] for r in rows], brute.languages(taught, [r[1] for r in rows], rarest), strict=True))
+    assert len(got) == len(rows)
+    for r in got:
+        best, score, margin = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=0.01)
+        assert r.lang_pred == best or margin < 0.01
 
 
 def test_identified_keeps_texts_where_no_language_was_learned(spark):
@@ -174,11 +199,10 @@ def test_small_languages_are_learned_beside_large_ones(spark, monkeypatch):
     rows = [(i, text("abcd"), "large") for i in range(600)] + [(1000 + i, text("wxyz"), "small") for i in range(4)]
     rows += [(2000, "qqq rrr qqq rrr", "one")]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr(language_id, "WORDS", 60)
-    monkeypatch.setattr(language_id, "GRAMS", 60)
+    monkeypatch.setattr(language_id, "RAREST", 60)
     model = language_id.learn(labelled, 60)
     assert model.langs == ["large", "one", "small"]
-    assert len(model.words) <= 60 and len(model.grams) <= 60
+    assert len(model.words) <= 180 and len(model.grams) <= 180
     assert {"qqq", "rrr"} <= set(model.words) and sum(w[0] in "wxyz" for w in model.words) >= 10
     assert sum(set("wxyz") & set(g) != set() for g in model.grams) >= 10
     scorer = language_id._Scorer(model)
