@@ -19,7 +19,7 @@ from stutter.operators.blocks import scratch
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; null texts and those without a letter go."""
+    """Documents in some language, with ``lang`` filled in where it is null and can be told; null texts and those without a letter go."""
     return identified(docs)
 
 
