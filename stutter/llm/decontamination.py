@@ -24,13 +24,14 @@ WINDOW = 13  # tokens of an overlap
 SUBSTITUTIONS = 2
 LEAST = 8  # items with fewer tokens are matched whole, without substitutions
 _NOT_A_WORD = r"[^\p{L}\p{N}]+"
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"  # scripts without spaces
+# characters of scripts without spaces; their range is asked first, which is fast
+_UNSPACED = r"([\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
 
 
 def tokens(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(low.rlike(_UNSPACED), F.regexp_replace(low, _UNSPACED, " $1 ")).otherwise(low)
-    return F.array_remove(F.split(apart, _NOT_A_WORD), "")
+    text = F.coalesce(text, F.lit(""))
+    apart = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, _UNSPACED, " $1 ")).otherwise(text)
+    return F.array_remove(F.split(F.lower(apart), _NOT_A_WORD), "")
 
 
 def _seeds(df: DataFrame, words: str, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
