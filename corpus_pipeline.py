@@ -29,7 +29,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays, and of equal rows one."""
+    """The document with the smallest id of each group of near copies stays.
+
+    Of rows with one id and text, the one whose other columns come first as JSON
+    stays, so the same rows are kept in every run. Texts without words and rows
+    with a null id are near copies of nothing and stay; an empty table stays empty.
+    """
     groups = written(jaccard_join(docs).select("doc_id", "component_id"))
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct())
     kept = with_few(docs, gone, "doc_id", "left_anti")
@@ -37,17 +42,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     once = with_few(kept, repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = with_few(kept, repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(several)
+    several = with_few(kept, repeated, "doc_id").select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    several = several.groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("_rest"))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns]
+    return once.unionByName(several.select(*columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a test item go."""
+    """Documents that hold a passage of a test item go.
+
+    Equal rows go or stay together. Null and empty texts stay, and rows with a
+    null id are judged by their text; without test items all rows stay.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences.
+
+    A null or empty text is a piece of one id; equal rows are packed each on its
+    own, remainders of equal size by id; an empty table gives no pieces.
+    """
     return pack_documents(docs)
 
 

@@ -57,6 +57,8 @@ def values(column: pa.Array, dtype) -> np.ndarray:
 def blob(array: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Pieces of an array, cut at ``bounds``, as blobs."""
     array = np.ascontiguousarray(array)
+    if array.nbytes >= 1 << 31:
+        raise ValueError("a column of blobs takes 2 GB or more; hand on smaller slices of text")
     offsets = (np.asarray(bounds, np.int64) * array.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(array)])
 
