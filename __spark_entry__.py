@@ -16,7 +16,7 @@ from stutter import find_repeats, get_repeats, single_k_repeats  # noqa: E402
 from stutter.functions import udtf  # noqa: E402
 from stutter.functions.scalars import match_count, midpoint, primitive_motif, units_match  # noqa: E402
 from stutter.functions.scan import Rule  # noqa: E402
-from stutter.operators import exact, intervals, relations, segments, tolerant  # noqa: E402
+from stutter.operators import bitmaps, exact, intervals, relations, segments, tolerant  # noqa: E402
 from stutter.operators.blocks import number_rows, scratch  # noqa: E402
 from stutter.operators.linked import read_linked  # noqa: E402
 from stutter.sources import lines, sinks  # noqa: E402
@@ -431,6 +431,30 @@ def merge_intervals(spark, sf_dir):
     return intervals.merge_intervals(doc_repeats(spark, sf_dir, K1))
 
 
+def _bitmaps(cells: str) -> str:
+    return f"""bytes AS (SELECT seq_id, p // 32768 AS block, p % 32768 // 8 AS byte, sum(1 << (p % 8))::INTEGER AS v, count(*) AS n
+  FROM ({cells}) GROUP BY ALL),
+filled AS (SELECT seq_id, block, unnest(range(0, top + 1)) AS byte FROM (
+  SELECT seq_id, block, max(byte) AS top FROM bytes GROUP BY ALL))
+SELECT f.seq_id, f.block::BIGINT AS block, sum(coalesce(n, 0))::BIGINT AS covered, (sum(coalesce(n, 0)) / 32768.0)::DOUBLE AS density,
+       string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY f.byte) AS bits
+FROM filled f LEFT JOIN bytes b ON b.seq_id = f.seq_id AND b.block = f.block AND b.byte = f.byte GROUP BY f.seq_id, f.block"""
+
+
+_CELLS = "SELECT seq_id, unnest(range(start_pos, end_pos + 1)) AS p FROM repeats"
+
+
+@query(f"WITH {o.repeats(K1)}, {_bitmaps(f'SELECT DISTINCT * FROM ({_CELLS})')}")
+def coverage_bitmaps(spark, sf_dir):
+    return bitmaps.described(bitmaps.coverage_bitmaps(doc_repeats(spark, sf_dir, K1)))
+
+
+@query(f"WITH {o.repeats(K1)}, {_bitmaps(f'{_CELLS} WHERE k > 3 EXCEPT {_CELLS} WHERE k <= 3')}")
+def coverage_without(spark, sf_dir):
+    long, short = (bitmaps.coverage_bitmaps(doc_repeats(spark, sf_dir, ks)) for ks in ([4, 5, 6], [1, 2, 3]))
+    return bitmaps.described(bitmaps.without(long, short))
+
+
 def _cut(n: int, seqs: str = "seqs") -> str:
     return f"""segs AS (SELECT seq_id, seq_name, c AS chunk_id, c * {n} AS seg_start,
   least(c * {n} + {n - 1}, length(seq) - 1) AS seg_end, substr(seq, c * {n} + 1, {n}) AS chunk

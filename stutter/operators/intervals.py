@@ -225,11 +225,13 @@ def partial_units(
     before = F.substring(text, (low + 1).cast("int"), F.greatest(at - low, F.lit(0)).cast("int"))
 
     def agreeing(unit: Column, other: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(spare, F.lit(1)))
-        differs = F.filter(
-            steps, lambda i: F.substring(unit, i, F.lit(1)) != F.substring(other, i, F.lit(1))
+        # both sides as arrays of characters, so that a long motif is walked once
+        same = F.zip_with(
+            F.split(F.substring(unit, F.lit(1), spare), ""), F.split(other, ""),
+            lambda a, b: F.coalesce(a == b, F.lit(False)),
         )
-        return F.when(spare < 1, F.lit(0)).otherwise(F.coalesce(F.array_min(differs), spare + 1) - 1)
+        differs = F.array_position(same, False)
+        return F.when(spare < 1, F.lit(0)).when(differs == 0, spare).otherwise(differs - 1)
 
     crosses_left = (start <= seg_start) & (end >= seg_start)
     crosses_right = (end >= seg_end) & (start <= seg_end)

@@ -131,3 +131,23 @@ def test_global_containment_with_sparse_ids(spark):
     df = spark.createDataFrame(rows, "seq_id long, start_pos long, end_pos long, k int, motif string").repartition(4)
     for block in (4, 1 << 16):
         assert ordered(tuple(r) for r in iv.drop_contained_global(df, block).collect()) == want
+
+
+def test_partial_units_of_a_long_motif(spark):
+    unit = "".join(RND.choice("acgt") for _ in range(100_000))
+    other = "x" if unit[70_000] != "x" else "y"
+    rows = [
+        (unit[:99_999], 300_000, 399_998, unit, 0, 299_999),  # a border repeat and nearly a unit behind it
+        (unit[:70_000] + other + unit[70_001:], 300_000, 399_999, unit, 0, 299_999),
+        ("ab" + "cd" * 3, 0, 7, "cd", 2, 9), ("adcd", 0, 3, "cd", 2, 9), ("é", 0, 0, "é", 0, 5),
+    ]
+    pairs = spark.createDataFrame(rows, "chunk string, seg_start long, seg_end long, motif string, start_pos long, end_pos long")
+    # text behind the repeat begins with the segment here
+    got = [(r.ext_before, r.ext_after) for r in iv.partial_unit_extension(pairs.coalesce(1)).collect()]
+    want = []
+    for chunk, a, b, motif, s, e in rows:
+        after = chunk[max(e - a + 1, 0) :][: len(motif) - 1]
+        before = chunk[: max(s - a, 0)][::-1][: len(motif) - 1]
+        n = lambda u, t: next((i for i, (x, y) in enumerate(zip(u, t)) if x != y), min(len(u), len(t)))
+        want.append((n(motif[::-1], before) if e >= b and s <= b else 0, n(motif, after) if s <= a <= e else 0))
+    assert got == want
