@@ -26,10 +26,11 @@ from ..functions import carry, scan
 from ..functions.scan import Rule
 from ..sources.chunks import chunk_sequences
 from .blocks import div, durable
-from .exact import REPEAT_COLUMNS
+from .exact import REPEAT_COLUMNS, RowSpans, slices
 from .intervals import merge_intervals
 
 _AHEAD = 4096  # segments looked at in one go behind an open run at most
+_ROWS = 1 << 14  # rows handed on together
 _KEY = "k int, seed string, gap int, used long, stop long"
 _KEYS = ["k", "seed", "gap", "used", "stop"]
 _STATE = "struct<pos:bigint,reach:bigint,free:bigint>"
@@ -47,6 +48,29 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows."""
+    while some := list(itertools.islice(rows, _ROWS)):
+        yield _batch(some, schema)
+
+
+def _each(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict]:
+    """Rows of batches, a bounded number of characters at a time."""
+    for batch in batches:
+        for part, _ in slices(batch, column):
+            yield from part.to_pylist()
+
+
+# -- texts of ranges --------------------------------------------------------------
+
+
+def _shown(df: DataFrame, size: int, context: int) -> DataFrame:
+    """Ranges with their context on both sides and one character more, written once for all rounds of all lengths."""
+    chunks = chunk_sequences(df, size, halo=context + 1, left=context)
+    before = F.least(F.col("chunk_start"), F.lit(context)).cast("int").alias("before")
+    return durable(chunks.select("seq_id", "seq_name", "chunk_id", "chunk_start", before, "chunk"))
+
+
 # -- ends of runs that leave their range ----------------------------------------
 
 _OPEN = "seq_id long, id long, " + _KEY + ", units long"
@@ -54,45 +78,46 @@ _DONE = "seq_id long, id long, units long, end_pos long"
 _AFTER = _OPEN + ", ended boolean, seg long"
 
 
-def run_ends(df: DataFrame, wanted: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
+def run_ends(shown: DataFrame, wanted: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
     """``(seq_id, k, seed, gap, used, stop, units, end_pos)``: what runs in these states still add, and their last position.
 
     A state lies within the last ``rule.step`` characters of a range's context.
     Segments are the ranges moved by that much, so that runs enter each of them
     within its first few characters.
     """
-    spark, step = df.sparkSession, rule.step
+    spark, step = shown.sparkSession, rule.step
     shift = context - step + 1
-    texts = chunk_sequences(df, size, halo=shift + step).select(
-        "seq_id", F.col("chunk_id").alias("seg"), F.expr(f"substr(chunk, {shift + 1})").alias("text"),
-        (F.length("chunk") == size + shift + step).alias("cut"),
+    texts = shown.select(
+        "seq_id", F.col("chunk_id").alias("seg"), F.expr(f"substr(chunk, before + {shift + 1})").alias("text"),
+        (F.length("chunk") - F.col("before") == size + shift + step).alias("cut"),
     )
     wanted = durable(wanted.select("seq_id", *_KEYS).distinct().withColumn("id", F.monotonically_increasing_id()))
     waiting = wanted.select("seq_id", "id", *_KEYS, F.lit(0).cast("long").alias("units"))
     after = _arrow(_AFTER, spark)
 
+    def stepped(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            begin = row["seg"] * size + shift
+            for s in row["states"]:
+                units, at, gap, used, ended = carry.walk(
+                    row["text"], s["stop"] - begin, s["seed"], s["gap"], s["used"], rule, row["cut"], size
+                )
+                yield row["seq_id"], s["id"], s["k"], s["seed"], gap, used, at + begin, s["units"] + units, ended, row["seg"] + 1
+
     def step_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each state through the segment it stands in."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                begin = row["seg"] * size + shift
-                rows = []
-                for s in row["states"]:
-                    units, at, gap, used, ended = carry.walk(
-                        row["text"], s["stop"] - begin, s["seed"], s["gap"], s["used"], rule, row["cut"], size
-                    )
-                    rows.append((row["seq_id"], s["id"], s["k"], s["seed"], gap, used, at + begin, s["units"] + units, ended, row["seg"] + 1))
-                yield _batch(rows, after)
+        return _batches(stepped(_each(batches, "text")), after)
 
     passages = _arrow("seq_id long, seed string, seg long, passage binary", spark)
 
+    def passed(rows: Iterator[dict]) -> Iterator[tuple]:
+        for row in rows:
+            for seed in row["seeds"]:
+                through = carry.passage(row["text"], seed, rule, size, step, row["cut"])
+                yield row["seq_id"], seed, row["seg"], through.packed()
+
     def pass_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _batch([
-                    (row["seq_id"], seed, row["seg"], carry.passage(row["text"], seed, rule, size, step, row["cut"]).packed())
-                    for seed in row["seeds"]
-                ], passages)
+        return _batches(passed(_each(batches, "text")), passages)
 
     met = _arrow("seq_id long, id long, gap int, used long, stop long, units long, ended boolean", spark)
 
@@ -168,37 +193,50 @@ _READ = (
 def _read(ranges: DataFrame, rule: Rule, lanes: list[list[int]], size: int, context: int, schema: pa.Schema) -> DataFrame:
     """Read rows ``(seq_id, seq_name, lane, chunk_id, text, text_start, state, mask, ends)``."""
 
+    as_state = lambda s: s and dict(zip(("pos", "reach", "free"), s, strict=True))
+
+    def starts_of(rows: list[dict]) -> list[list[scan.Starts]]:
+        """Starts in each text by length, looked for in all texts of a lane together."""
+        out: list[list[scan.Starts]] = [[] for _ in rows]
+        for lane in {row["lane"] for row in rows}:
+            mine = [i for i, row in enumerate(rows) if row["lane"] == lane]
+            spans = RowSpans([rows[i]["text"] for i in mine])
+            for k in lanes[lane]:
+                found = scan.possible_starts(spans.codes, spans.stop, k, rule)
+                cut = np.searchsorted(found.start, np.append(spans.start, spans.stop[-1])).tolist()
+                for j, i in enumerate(mine):
+                    out[i].append(found.pick(slice(cut[j], cut[j + 1])).moved(-int(spans.start[j])))
+        return out
+
+    def of_rows(rows: list[dict]) -> Iterator[tuple]:
+        for row in rows:
+            state, lo = row["state"], row["chunk_id"] * size
+            row["state"] = state and tuple(state[c] for c in ("pos", "reach", "free"))
+            if state:  # what lies before the range has been read
+                row["text"], row["text_start"] = row["text"][lo - row["text_start"] :], lo
+        for row, starts in zip(rows, starts_of(rows), strict=True):
+            text, origin = row["text"], row["text_start"]
+            lo = row["chunk_id"] * size
+            hi = lo + size
+            ends = {
+                tuple(e[c] for c in _KEYS): (e["units"], e["end_pos"], e["free"]) for e in row["ends"] or ()
+            }
+            mask = sorted((m["s"], m["e"]) for m in row["mask"] or ())
+            got = carry.read_range(
+                text, origin, lo, hi, lanes[row["lane"]], starts, rule, row["state"], origin + len(text) == hi + context,
+                mask, ends,
+            )
+            base = (row["seq_id"], row["seq_name"], row["lane"], row["chunk_id"])
+            for k, p, cnt, end in got.rows:
+                yield (*base, "repeat", k, text[p - origin : p - origin + k], cnt, p, end, *[None] * 6)
+            for k, seed, gap, used, stop in dict.fromkeys(got.wanted):
+                yield (*base, "wanted", k, *[None] * 6, seed, gap, used, stop)
+            yield (*base, "range", *[None] * 5, as_state(got.entered), as_state(got.left), *[None] * 4)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                text, origin = row["text"], row["text_start"]
-                lo = row["chunk_id"] * size
-                hi = lo + size
-                state = row["state"] and tuple(row["state"][c] for c in ("pos", "reach", "free"))
-                if state:  # what lies before the range has been read
-                    text, origin = text[lo - origin :], lo
-                codes, stops = scan.to_codes(text), np.array([len(text)])
-                ks = lanes[row["lane"]]
-                starts = [scan.possible_starts(codes, stops, k, rule) for k in ks]
-                ends = {
-                    tuple(e[c] for c in _KEYS): (e["units"], e["end_pos"], e["free"]) for e in row["ends"] or ()
-                }
-                mask = sorted((m["s"], m["e"]) for m in row["mask"] or ())
-                got = carry.read_range(
-                    text, origin, lo, hi, ks, starts, rule, state, origin + len(text) == hi + context, mask, ends
-                )
-                base = (row["seq_id"], row["seq_name"], row["lane"], row["chunk_id"])
-                as_state = lambda s: s and dict(zip(("pos", "reach", "free"), s, strict=True))
-                rows = [
-                    (*base, "repeat", k, text[p - origin : p - origin + k], cnt, p, end, *[None] * 6)
-                    for k, p, cnt, end in got.rows
-                ]
-                rows += [
-                    (*base, "wanted", k, *[None] * 6, seed, gap, used, stop) for k, seed, gap, used, stop in dict.fromkeys(got.wanted)
-                ]
-                rows.append((*base, "range", *[None] * 5, as_state(got.entered), as_state(got.left), *[None] * 4))
-                yield _batch(rows, schema)
+            for part, _ in slices(batch, "text"):
+                yield from _batches(of_rows(part.to_pylist()), schema)
 
     return ranges.mapInArrow(read, _READ)
 
@@ -206,26 +244,33 @@ def _read(ranges: DataFrame, rule: Rule, lanes: list[list[int]], size: int, cont
 _PLAN = f"seq_id long, lane int, chunk_id long, valid boolean, again boolean, state {_STATE}"
 
 
-def _planner(size: int, schema: pa.Schema):
-    """Go through the ranges of a sequence by their states: which count, and which are read again from where."""
+def _planned(ranges: DataFrame, size: int, schema: pa.Schema) -> DataFrame:
+    """Go through the ranges of each sequence by their states: which count, and which are read again from where.
+
+    Rows stream by in order, so that a task holds the state of one range only.
+    """
 
-    def plan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk_id"])
-        known, skip, out = {"pos": 0, "reach": -1, "free": 0}, 0, []
+    def planned(rows: Iterator[dict]) -> Iterator[tuple]:
+        now = None
         for r in rows:
             base = (r["seq_id"], r["lane"], r["chunk_id"])
+            if base[:2] != now:
+                now, known, skip = base[:2], {"pos": 0, "reach": -1, "free": 0}, 0
             if r["chunk_id"] < skip:
-                out.append((*base, False, False, None))
+                yield (*base, False, False, None)
                 continue
             wrong = known is not None and r["entered"] != known
             state = known if known is not None else r["entered"]
             # what is not known yet is believed until its left neighbour says otherwise
-            out.append((*base, True, wrong or (r["left"] is None and r["asked"]), state))
+            yield (*base, True, wrong or (r["left"] is None and r["asked"]), state)
             known = r["left"]
             skip = known["pos"] // size if known else 0
-        return pa.Table.from_batches([_batch(out, schema)])
 
-    return plan
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(planned(row for batch in batches for row in batch.to_pylist()), schema)
+
+    placed = ranges.repartition("seq_id", "lane").sortWithinPartitions("seq_id", "lane", "chunk_id")
+    return placed.mapInArrow(plan, _PLAN)
 
 
 def read_linked(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame:
@@ -236,24 +281,24 @@ def read_linked(df: DataFrame, rule: Rule, size: int, context: int) -> DataFrame
     """
     context = max(context, rule.reach + rule.step)
     size = max(size, context + 1)
+    shown = _shown(df, size, context)
     if rule.policy == "ranked":
         found = None
         for k in rule.k_list:
             mask = None if found is None else durable(merge_intervals(found, ["seq_id"], block=size))
-            mine = _linked(df, rule, [[k]], size, context, mask)
+            mine = _linked(shown, rule, [[k]], size, context, mask)
             found = mine if found is None else durable(found.unionByName(mine))
         return found
     lanes = [list(rule.k_list)] if rule.policy == "position" else [[k] for k in rule.k_list]
-    return _linked(df, rule, lanes, size, context, None)
+    return _linked(shown, rule, lanes, size, context, None)
 
 
-def _linked(df: DataFrame, rule: Rule, lanes: list[list[int]], size: int, context: int, mask: DataFrame | None) -> DataFrame:
-    spark = df.sparkSession
+def _linked(shown: DataFrame, rule: Rule, lanes: list[list[int]], size: int, context: int, mask: DataFrame | None) -> DataFrame:
+    spark = shown.sparkSession
     schema, plan_schema = _arrow(_READ, spark), _arrow(_PLAN, spark)
-    start = F.col("chunk_start")
-    texts = chunk_sequences(df, size, halo=context, left=context).select(
-        "seq_id", "seq_name", "chunk_id", F.greatest(start - context, F.lit(0).cast("long")).alias("text_start"),
-        F.col("chunk").alias("text"),
+    texts = shown.select(
+        "seq_id", "seq_name", "chunk_id", (F.col("chunk_start") - F.col("before")).alias("text_start"),
+        F.expr(f"substr(chunk, 1, before + {size + context})").alias("text"),
     )
     if mask is not None:  # cut at ranges, with the context of each and the cell behind it
         first = F.greatest(F.lit(0), div(F.col("start_pos") - context - 1, size))
@@ -277,13 +322,13 @@ def _linked(df: DataFrame, rule: Rule, lanes: list[list[int]], size: int, contex
         now = rounds[-1].where("kind = 'wanted'").select("seq_id", "lane", "chunk_id", *_KEYS)
         asked = now.select(*keys).distinct().withColumn("asked", F.lit(True))
         plan = ranges.join(asked, keys, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        plan = durable(plan.groupBy("seq_id", "lane").applyInArrow(_planner(size, plan_schema), _PLAN))
+        plan = durable(_planned(plan, size, plan_schema))
         again = plan.where("again").select(*keys, "state")
         if again.isEmpty():
             break
         now = durable(now.join(again.select(*keys), keys, "left_semi"))
         if not now.isEmpty():
-            resolved = run_ends(df, now, rule, size, context)
+            resolved = run_ends(shown, now, rule, size, context)
             # the first cell after the end that is not covered beforehand
             after = F.col("end_pos") + 1
             if mask is None:

@@ -8,7 +8,7 @@ from helpers import expected, pieces, repeat_rows, sequences
 
 from stutter.functions import carry
 from stutter.functions.scan import Rule
-from stutter.operators import tolerant
+from stutter.operators import linked, tolerant
 from stutter.operators.linked import read_linked
 from stutter.operators.tolerant import tolerant_repeats
 
@@ -67,3 +67,46 @@ def test_runs_over_many_ranges(spark, monkeypatch, ks, miss, gap, gaps, policy):
 def test_pieces(spark):
     want = expected(TEXTS[:2], (3,), 3, 1)
     assert repeat_rows(read_linked(pieces(spark, TEXTS[:2], 50), Rule((3,), 3, 1), 256, 64)) == want
+
+
+class Mapped:
+    """In place of a DataFrame: hands back the task function."""
+
+    def mapInArrow(self, read, schema):
+        return read
+
+    def repartition(self, *by):
+        return self
+
+    sortWithinPartitions = repartition
+
+
+def test_ranges_are_read_together(spark):
+    schema = linked._arrow(linked._READ, spark)
+    read = linked._read(Mapped(), Rule((3,), 3, 1), [[3]], 24, 20, schema)
+    entry = "array<struct<k:int,seed:string,gap:int,used:bigint,stop:bigint,units:bigint,end_pos:bigint,free:bigint>>"
+    arrow = linked._arrow(
+        "seq_id long, seq_name string, lane int, chunk_id long, text string, text_start long, "
+        f"state {linked._STATE}, mask array<struct<s:bigint,e:bigint>>, ends {entry}", spark
+    )
+    at_start = {"pos": 0, "reach": -1, "free": 0}
+    rows = [(i, f"seq{i}", 0, 0, "abcabcabcq" if i % 2 else "abXabqabc", 0, at_start, None, None) for i in range(1000)]
+    got = list(read(iter([linked._batch(rows, arrow)])))
+    assert len(got) == 1  # not a batch for each range
+    found = [r for r in got[0].to_pylist() if r["kind"] == "repeat"]
+    assert [(r["seq_id"], r["cnt"]) for r in found] == [(i, 3) for i in range(1000)]
+
+
+def test_plan_goes_on_over_batches(spark):
+    plan = linked._planned(Mapped(), 10, linked._arrow(linked._PLAN, spark))
+    arrow = linked._arrow(f"seq_id long, lane int, chunk_id long, asked boolean, entered {linked._STATE}, left {linked._STATE}", spark)
+    state = lambda pos: {"pos": pos, "reach": -1, "free": 0}
+    one = [(1, 0, 0, False, state(0), state(25)), (1, 0, 1, False, state(10), state(20)), (1, 0, 2, False, state(20), state(30))]
+    rows = one + [(2, *r[1:]) for r in one]
+    for cut in range(len(rows) + 1):
+        batches = [linked._batch(part, arrow) for part in (rows[:cut], rows[cut:]) if part]
+        got = [r for b in plan(iter(batches)) for r in b.to_pylist()]
+        assert [(r["seq_id"], r["chunk_id"], r["valid"], r["again"]) for r in got] == [
+            (i, c, c != 1, c == 2) for i in (1, 2) for c in range(3)
+        ]
+        assert [r["state"] for r in got if r["again"]] == [state(25)] * 2
