@@ -20,12 +20,13 @@ from ..functions import scan
 from ..functions.scalars import primitive_motif, rotate
 from ..functions.scan import Rule
 from ..sources.chunks import CHUNK_SIZE, chunk_sequences, is_pieces
-from .blocks import div, durable_counted, join_few
+from .blocks import div, durable_counted, join_few, weighed
 from .intervals import merge_intervals, uncovered_intervals
 
 REPEAT_COLUMNS = ["seq_id", "seq_name", "k", "motif", "cnt", "start_pos", "end_pos"]
 _SLICE = 4 << 20  # characters looked at together in a task
 _LOOKUP_BLOCK = 1 << 10  # positions that are compared with the regions near them
+_WORDS = 4  # words of 64 positions in a row of folded positions
 
 _RUN_SCHEMA = (
     "seq_id long, seq_name string, k int, motif string, start_pos long, end_pos long, border boolean"
@@ -225,6 +226,8 @@ def repeat_at_position(
 
     ``positions`` has columns seq_id, pos, k; positions without a repeat give no
     row. Joined by (seq_id, k, block of positions), so one long sequence spreads.
+    Positions stay where they are while the regions are few; beyond that they
+    are folded into bits before the shuffle.
     """
     if k_list is None:
         k_list = [r["k"] for r in positions.select("k").distinct().collect()]  # one row per motif length
@@ -232,14 +235,60 @@ def repeat_at_position(
     asked = positions.select(
         F.col("seq_id").cast("long").alias("seq_id"), F.col("pos").cast("long").alias("pos"),
         F.col("k").cast("int").alias("k"),
-    ).withColumn("_block", div("pos", block))
-    found = join_few(asked, regions_by_block(regions, block), ["seq_id", "k", "_block"]).where(
+    )
+    few, small = weighed(regions_by_block(regions, block))
+    if not small:
+        return _around(_folded_lookup(asked, regions), min_repeat)
+    found = asked.withColumn("_block", div("pos", block)).join(F.broadcast(few), ["seq_id", "k", "_block"]).where(
         (F.col("pos") >= F.col("start_pos"))
         & (F.col("pos") + F.col("k") <= F.col("start_pos") + F.col("length"))
     )
     return _around(found, min_repeat)
 
 
+def _folded(asked: DataFrame) -> DataFrame:
+    """``seq_id, k, _block, _w0 ..., _n``: asked positions of a block as bits, and how many rows ask for them.
+
+    Bits are set before the shuffle, so that a row is moved for a block and not for a position.
+    """
+    word = div("pos", 64) % _WORDS
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+    words = [
+        F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"_w{i}") for i in range(_WORDS)
+    ]
+    by = asked.where("pos >= 0").groupBy("seq_id", "k", div("pos", 64 * _WORDS).alias("_block"))
+    return by.agg(*words, F.count("*").alias("_n"))
+
+
+def _folded_lookup(asked: DataFrame, regions: DataFrame) -> DataFrame:
+    """``asked`` with the regions through its positions; only folded positions and hits are shuffled.
+
+    Hits in blocks that are asked for by more rows than positions are counted
+    again in ``asked``, so a position asked twice is answered twice.
+    """
+    block = 64 * _WORDS
+    near = _folded(asked).join(regions_by_block(regions, block).hint("merge"), ["seq_id", "k", "_block"])
+    first = F.col("_block") * block
+    low = F.greatest(first, F.col("start_pos"))
+    high = F.least(first + (block - 1), F.col("start_pos") + F.col("length") - F.col("k"))
+    near = near.where(low <= high).withColumn("pos", F.explode(F.sequence(low, high)))
+    word = F.get(F.array(*[F.col(f"_w{i}") for i in range(_WORDS)]), (div("pos", 64) % _WORDS).cast("int"))
+    hits = near.where(F.getbit(word, (F.col("pos") % 64).cast("int")) == 1)
+    distinct = sum((F.bit_count(f"_w{i}") for i in range(_WORDS)), F.lit(0))
+    hits = hits.select(
+        "seq_id", "seq_name", "k", "motif", "start_pos", "length", "pos", (F.col("_n") > distinct).alias("_again")
+    )
+    hits, again = durable_counted(hits, F.col("_again"))
+    once = hits.where("not _again").drop("_again")
+    if not again:
+        return once
+    several = hits.where("_again").drop("_again")
+    keys = ["seq_id", "k", "pos"]
+    copies = join_few(asked, several.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_copies"))
+    each = several.join(copies, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return once.unionByName(each.drop("_copies", "_copy"))
+
+
 def _around(found: DataFrame, min_repeat: int) -> DataFrame:
     k = F.col("k").cast("long")
     before = div(F.col("pos") - F.col("start_pos"), k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stutter import find_repeats, get_repeats, single_k_repeats
 from stutter.functions.scan import Rule
-from stutter.operators import exact, resolve, segments
+from stutter.operators import blocks, exact, resolve, segments
 from stutter.sources.chunks import chunk_sequences
 
 TEXTS = model.texts(random.Random(11), 300) + ["", "a", "é" * 40, "ab" * 100, "N" * 500]
@@ -81,6 +81,25 @@ def test_position(spark, seqs):
         assert all(r.motif == TEXTS[r.seq_id][r.pos : r.pos + r.k] for r in got.collect())
 
 
+def test_position_with_many_regions(spark, seqs, monkeypatch):
+    """Beyond the size of a broadcast, positions are folded before they are shuffled; each row asked is answered."""
+    texts = [*TEXTS, "ab" * 300 + "x" + "abc" * 200]
+    asked = [(i, p, k) for i, t in enumerate(texts) for p in range(len(t)) for k in (1, 2, 3)]
+    asked += [r for r in asked if r[1] % 3 == 0] * 2 + [(0, -1, 2), (0, 10**9, 2)]
+    want = sorted((i, p, k, *run) for i, p, k in asked if 0 <= p < len(texts[i]) and (run := model.around(texts[i], p, k)))
+    frame = spark.createDataFrame(asked, "seq_id long, pos long, k int")
+    frame = frame.unionByName(spark.createDataFrame([(None, 1, 2), (0, None, 2), (0, 1, None)], frame.schema))
+    monkeypatch.setattr(blocks, "_FEW_BYTES", 0)
+    got = exact.repeat_at_position(sequences(spark, texts), frame, k_list=(1, 2, 3))
+    rows = got.collect()
+    assert sorted((r.seq_id, r.pos, r.k, r.start_pos, r.cnt, r.end_pos) for r in rows) == want
+    assert all(r.motif == texts[r.seq_id][r.pos : r.pos + r.k] for r in rows)
+    # a row of the shuffle for each 256 positions of a sequence and length
+    folded = exact._folded(frame.where("pos >= 0 and pos < 100000 and seq_id is not null and k is not null"))
+    assert folded.count() == 3 * sum(-(-len(t) // 256) for t in texts)
+    assert [f.dataType.typeName() for f in got.schema] == ["long", "string", "integer", "string", "long", "long", "long", "long"]
+
+
 def _spanning(text, cut, ks):
     for k in ks:
         islands = {}
