@@ -28,7 +28,7 @@ from .shared import (
     values, with_few, written,
 )
 from .text import Windows, Words, mix, slices
-from .tokens import release
+from .tokens import release, trim
 
 SHINGLE = 5
 RADIUS = 0.2 + 1e-9  # Jaccard distance of 80 per cent similarity
@@ -84,6 +84,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [doc, pa.array(n), pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "n", "k1", "k2"]
             )
+    trim()
 
 
 # -- shared early shingles ------------------------------------------------------
@@ -122,6 +123,7 @@ def _sent(buckets: int, fold_rows: bool):
                 elif len(h):
                     h, key = distinct_rows(h, key)
                     yield pack(buckets, h, key)
+        trim()
 
     return run
 
@@ -157,6 +159,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in _parts(batch):
             row, h, n = _sets(text)
             yield pa.RecordBatch.from_arrays([doc, blob(h, np.concatenate([[0], np.cumsum(n)]))], ["doc_id", "shingles"])
+    trim()
 
 
 # -- inside a region ------------------------------------------------------------

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import with_few, written
 from .text import SLICE, Windows, slices, texts
-from .tokens import release
+from .tokens import release, trim
 
 ROLL = 2  # lines in the rolling hash
 LEAST = 2  # lines of a chunk, at least
@@ -112,6 +112,7 @@ def _hashed(units: Callable):
                             out = []
             if out:
                 yield sent(out)
+        trim()
 
     return run
 
@@ -142,6 +143,7 @@ def _bytes_of(units: Callable):
                             out, size = [], 0
             if out:
                 yield flush()
+        trim()
 
     return run
 
@@ -174,6 +176,7 @@ def _kept(without: Callable):
                 [batch["all"], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
                 ["all", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256", "kept_text"],
             )
+        trim()
 
     return run
 
