@@ -152,6 +152,7 @@ def _regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x)) for x in (pivots, docs, sizes)], ["region", "doc_id", "n"]
             )
+    trim()
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

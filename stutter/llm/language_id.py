@@ -63,6 +63,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                  pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"],
             )
+    trim()
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +86,9 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[lang, g] += n
                 if len(counts) > _AT_HAND:
                     yield sent()
-        if counts:
-            yield sent()
+    if counts:
+        yield sent()
+    trim()
 
 
 class Model:

@@ -162,20 +162,21 @@ def _without_chunks(raw: bytes, drop: set[int]) -> tuple[int, int, bytes]:
 def _kept(without: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch["gone"].to_pylist()
-            out = []
-            is_null = batch["text"].is_null().to_pylist()
-            for i, raw in _rows(batch):
-                drop = set(gone[i] or ())
-                n_lines = raw.count(b"\n") + 1 if raw else 0
-                removed, n_chunks, text = without(raw, drop) if drop else (0, 0, raw)
-                out.append((n_lines, removed, n_chunks, hashlib.sha256(text).hexdigest(), None if is_null[i] else text.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch["all"], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-                ["all", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256", "kept_text"],
-            )
+            for lo, hi in slices(batch["text"]):  # sent back by the slice, so that neither side holds a batch twice
+                part = batch.slice(lo, hi - lo)
+                gone = part["gone"].to_pylist()
+                out = []
+                is_null = part["text"].is_null().to_pylist()
+                for i, raw in _rows(part):
+                    drop = set(gone[i] or ())
+                    n_lines = raw.count(b"\n") + 1 if raw else 0
+                    removed, n_chunks, text = without(raw, drop) if drop else (0, 0, raw)
+                    out.append((n_lines, removed, n_chunks, hashlib.sha256(text).hexdigest(), None if is_null[i] else text.decode()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [part["all"], *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]],
+                    ["all", "n_lines", "n_removed", "n_chunks_removed", "kept_sha256", "kept_text"],
+                )
         trim()
 
     return run

@@ -17,9 +17,26 @@ from pyspark.sql import functions as F
 
 from stutter.operators.blocks import durable, scratch
 
+from .tokens import trim
+
 BUCKET = 500_000  # values meant for one bucket
 _LEAST_BUCKETS, _MOST_BUCKETS = 256, 1 << 20
 FEW_BYTES = 24 << 20  # most that is broadcast
+ROWS = 2_000  # whole texts read, or handed to Python, at a time
+_AT_A_TIME = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on this session reads rows, and hands them to Python, at most ``ROWS`` at a time.
+
+    Spark's 4,096 and 10,000 are meant for narrow rows. Of whole texts a batch
+    takes tens of megabytes, which a task holds in the reader, in Arrow's
+    buffers (twice while they grow) and in its Python worker; what has been
+    freed stays with the executor. Rows and results are the same.
+    """
+    for key in _AT_A_TIME:
+        if not 0 < int(spark.conf.get(key)) <= ROWS:
+            spark.conf.set(key, str(ROWS))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -199,6 +216,7 @@ def look_up(
                     out = found(row, *known)
                     if out is not None and len(out):
                         yield out
+        trim()
 
     return both.mapInArrow(run, schema)
 
